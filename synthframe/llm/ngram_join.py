@@ -1,21 +1,24 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global n-gram order puts n-grams found often in the corpus last, and all others by hash. A document's first
-|s| - ceil(t|s|) + 1 n-grams in that order (its prefix) meet those of any partner, so documents with a prefix n-gram in
-common gather in the group of that n-gram's smallest document. A group's pairs are counted in square blocks: the order
-is cut into fragments, each fragment gives a matrix of partial overlaps of its own, and the matrices are summed per pair.
+The global order of n-grams is that of their hashes; it is cut into fragments, so each document's n-gram set falls into
+segments. Sets that link differ in at most D n-grams, D following from their size; cut into more than D fragments they
+have a segment in common, so equal segments find all candidates (see `segment_plan` for short segments). Documents with
+a segment in common gather in the group of that segment's smallest document. A group's pairs are counted in square
+blocks: each fragment of the order gives a matrix of partial overlaps of its own, and the matrices are summed per pair.
 Pairs never become rows; a block returns a spanning forest of its links, and star rounds join the forests.
 
-Work that follows the data: each n-gram set is hashed twice on its way (once for the corpus counts, once for prefixes),
-only prefixes (about a tenth of the n-grams at 0.9) are dealt out by n-gram, and whole sets travel only for documents
-that share one. Equal sets are one class from the start, so copies cost one narrow row each.
+Work that follows the data: a segment's signature stands for several n-grams, so about a sixth of the n-grams' number is
+dealt out at 0.9, frequent passages don't make groups, and whole sets travel only for documents with a segment in
+common. Equal sets are one class from the start, so copies cost one narrow row each.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +26,6 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import connected_components, map_columns, read, spanning_roots, texts_of
 
-#: n-grams that the order knows as frequent, at most; a task reports LOCAL_HEAVY of them. They only sort the order: any
-#: order gives the same links.
-HEAVY, LOCAL_HEAVY, HEAVY_COUNT = 1 << 16, 1 << 12, 32
 #: Words whose hashes a worker keeps.
 WORDS = 400_000
 #: Rows of ids up to which a side is broadcast (8 bytes each); above that the join shuffles.
@@ -68,72 +68,76 @@ def gram_set(text: str | None, n: int) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def _local_heavy(n: int):
-    """For mapInArrow: the n-grams found in most documents of a task."""
-
-    def shrink(parts: list, counts: tuple) -> tuple:
-        grams, number = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        often = number > 1
-        grams, number = np.concatenate((counts[0], grams[often])), np.concatenate((counts[1], number[often]))
-        grams, where = np.unique(grams, return_inverse=True)
-        number = np.bincount(where, number, len(grams)).astype(np.int64)
-        if len(grams) > 8 * LOCAL_HEAVY:
-            keep = np.argpartition(-number, 8 * LOCAL_HEAVY)[: 8 * LOCAL_HEAVY]
-            grams, number = grams[keep], number[keep]
-        return grams, number
-
-    def run(batches):
-        counts, parts, size = (np.empty(0, np.uint64), np.empty(0, np.int64)), [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                parts.append(gram_set(text.as_py(), n))
-                size += len(parts[-1])
-                if size >= 1 << 21:
-                    counts, parts, size = shrink(parts, counts), [], 0
-        grams, number = shrink(parts, counts)
-        keep = np.argsort(-number, kind="stable")[:LOCAL_HEAVY]
-        yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(number[keep])], names=["gram", "n"])
-
-    return run
-
-
-def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
-    """The corpus's frequent n-grams, from all documents: hashes in ascending frequency; HEAVY of them at most, 512 KB."""
-    counts = cut(docs.select("text").mapInArrow(_local_heavy(n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_COUNT), "heavy")
-    power = F.floor(F.log2("n")).cast("int")
-    least, total = 0, 0
-    for row in sorted(counts.groupBy(power.alias("p")).count().collect(), reverse=True):
-        if (total := total + row["count"]) > HEAVY:
-            least = row["p"] + 1
+@cache
+def _level_start(i: int, percent: int) -> int:
+    """Least set size of level i; a level's sizes differ by a half (below 85 percent a quarter) at most, besides the first ones."""
+    if i == 0:
+        return 1
+    last = _level_start(i - 1, percent)
+    return max(last + 1, last * 3 // 2 if percent >= 85 else last * 5 // 4)
+
+
+@cache
+def segment_plan(level: int, percent: int) -> tuple[int, int, int]:
+    """(fragments, differences at most, n-grams below which a segment is weak) for sets that meet at this level.
+
+    With |A & B| <= r (the level's largest size), 100 |A & B| >= percent |A | B| leaves r (100 - percent) / percent
+    differences at most, so at least fragments - differences segments are equal. Weak segments say little and aren't
+    used, unless a set has at least that many: if all equal segments are weak, they are so in both sets, and both sets use
+    theirs. Spare fragments make that rare (about one set in a thousand), never wrong."""
+    weak = 2 if percent >= 85 else 1
+    least, most = _level_start(level, percent), _level_start(level + 1, percent) - 1
+    differ = most * (100 - percent) // percent
+    spare = 1
+    while spare < most:
+        fragments = differ + spare
+        mean = least / fragments
+        expect = fragments * math.exp(-mean) * (1 + mean * (weak - 1))
+        if expect + 3 * math.sqrt(expect) + 1 < spare:
             break
-    rows = counts.where(power >= least).toPandas().sort_values(["n", "gram"])
-    return rows["gram"].to_numpy(np.int64).view(np.uint64)
-
-
-def _signatures(n: int, percent: int, heavy):
-    """For map_columns: n-gram count, class key and prefix of each document."""
+        spare += 1
+    return differ + spare, differ, weak
+
+
+def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
+    """The set's segment signatures at its level, and at the one below if a partner may be there."""
+    n, out = len(grams), []
+    if not n:
+        return grams
+    level = 0
+    while _level_start(level + 1, percent) <= n:
+        level += 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(grams + _ODD[3]))))
+    for at in (level, level - 1):
+        if at < 0 or (at < level and -(-percent * n // 100) >= _level_start(level, percent)):
+            continue
+        fragments, differ, weak = segment_plan(at, percent)
+        if not differ:  # only equal sets link
+            continue
+        number = ((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+        ends = np.searchsorted(number, np.arange(fragments + 1, dtype=np.uint64))
+        size = np.diff(ends)
+        use = size >= weak
+        if fragments - use.sum() >= fragments - differ:
+            use[:] = True
+        where = np.flatnonzero(use)
+        segment = sums[ends[where + 1]] - sums[ends[where]]
+        tag = where.astype(np.uint64) * _ODD[1] + size[where].astype(np.uint64) * _ODD[2] + np.uint64(at + 1)
+        out.append(_mix(_mix(tag) + segment * _ODD[0]))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _signed(n: int, percent: int):
+    """For map_columns: n-gram count, class key and segment signatures of each document."""
 
     def make():
-        by_count = heavy.value
-        order = np.argsort(by_count, kind="stable")
-        sorted_heavy = by_count[order]
-
-        def prefix(grams: np.ndarray) -> np.ndarray:
-            p = len(grams) - -(-percent * len(grams) // 100) + 1
-            if not len(sorted_heavy):
-                return grams[:p]
-            at = np.minimum(np.searchsorted(sorted_heavy, grams), len(sorted_heavy) - 1)
-            often = sorted_heavy[at] == grams
-            first = grams[~often][:p]
-            return first if len(first) == p else np.concatenate((first, by_count[np.sort(order[at[often]])[: p - len(first)]]))
-
         def fn(cols: dict) -> dict:
             sets = [gram_set(t, n) for t in cols["text"]]
             return {
                 "doc_id": cols["doc_id"],
                 "n_shingles": [len(s) for s in sets],
                 "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "prefix": [prefix(s).view(np.int64) for s in sets],
+                "segments": [signatures(s, percent).view(np.int64) for s in sets],
             }
 
         return fn
@@ -211,19 +215,17 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     split at ASCII white space). Null or wordless texts have no n-grams and link with nothing. Rows with the same doc_id
     are one node. A null doc_id stays a row of its own: its component is that of its copies with an id, or null.
     Other columns of docs are not read; an empty table gives an empty result."""
-    spark = docs.sparkSession
     docs = texts_of(docs)
-    heavy = spark.sparkContext.broadcast(frequent_grams(docs, n))
-    signed = cut(map_columns(docs, _signatures(n, percent, heavy), "doc_id long, n_shingles long, key binary, prefix array<long>"), "signed")
+    signed = cut(map_columns(docs, _signed(n, percent), "doc_id long, n_shingles long, key binary, segments array<long>"), "signed")
     classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = classes.where("rep is not null").select("key", F.col("rep").alias("doc_id"))
     postings = (
         signed.join(reps.withColumnRenamed("key", "rep_key"), "doc_id")
         .where("key = rep_key")
-        .select(F.col("doc_id").alias("d"), "n_shingles", F.explode("prefix").alias("gram"))
+        .select(F.col("doc_id").alias("d"), "n_shingles", F.explode("segments").alias("segment"))
     )
-    pivots = postings.groupBy("gram").agg(F.min("d").alias("p"), F.max("d").alias("last")).where("p <> last").select("gram", "p")
-    star = cut(postings.join(pivots, "gram").groupBy("p", "d").agg(F.min("n_shingles").alias("n")), "star")
+    pivots = postings.groupBy("segment").agg(F.min("d").alias("p"), F.max("d").alias("last")).where("p <> last").select("segment", "p")
+    star = cut(postings.join(pivots, "segment").groupBy("p", "d").agg(F.min("n_shingles").alias("n")), "star")
     groups = star.groupBy("p").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).where("docs > 1")
     low, high = BLOCK_DOCS
     groups = groups.select("p", F.expr(f"cast(greatest(ceil(docs / greatest({low}, least({high}, docs div 16))), ceil(grams / {BLOCK_GRAMS})) as int)").alias("blocks"))
