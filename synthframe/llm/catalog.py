@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import ngram_join, packing, word_tokens
 
-QUERIES = {"op8_ngram_join": ngram_join.op8_ngram_join}
+QUERIES = {
+    "op3_token_counts": word_tokens.op3_token_counts,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
+}
 ORACLE_SQL = {**ngram_join.ORACLE}
