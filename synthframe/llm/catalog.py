@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, ngram_join, packing, quality, secrets, word_tokens
+from . import byte_bpe, ngram_join, packing, pii, quality, secrets, word_tokens
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_counts": word_tokens.op3_token_counts,
+    "op4_pii": pii.op4_pii,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_ngram_join": ngram_join.op8_ngram_join,

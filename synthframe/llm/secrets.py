@@ -111,14 +111,15 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return texts_of(docs).mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 
-def digest_columns(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """doc_id, n_<kind> of the base kinds, base_sha256, spans; spans are kind:start:end joined by commas."""
+def digest_columns(found: DataFrame, kinds: tuple[str, ...], base: str = "spans") -> DataFrame:
+    """doc_id, n_<kind> and base_sha256 of the base spans (column `base`, those of the base kinds), spans; spans are
+    kind:start:end joined by commas."""
     listed = "concat_ws(',', transform({}, s -> concat_ws(':', s.kind, cast(s.start as string), cast(s.end as string))))"
-    base = "filter(spans, s -> s.kind in ({}))".format(", ".join(f"'{k}'" for k in kinds))
+    own = "filter({}, s -> s.kind in ({}))".format(base, ", ".join(f"'{k}'" for k in kinds))
     return found.select(
         "doc_id",
-        *[F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in kinds],
-        F.sha2(F.expr(listed.format(base)), 256).alias("base_sha256"),
+        *[F.expr(f"cast(size(filter({base}, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in kinds],
+        F.sha2(F.expr(listed.format(own)), 256).alias("base_sha256"),
         F.expr(listed.format("spans")).alias("spans"),
     )
 
