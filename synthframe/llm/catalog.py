@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, ngram_join, packing, pii, quality, secrets, word_tokens
+from . import byte_bpe, ngram_join, packing, pii, quality, secrets, topk, vector_dedup, word_tokens
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_counts": word_tokens.op3_token_counts,
     "op4_pii": pii.op4_pii,
+    "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op9_embedding_dedup": vector_dedup.op9_embedding_dedup,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
-ORACLE_SQL = {**ngram_join.ORACLE}
+ORACLE_SQL = {**ngram_join.ORACLE, **topk.ORACLE, **vector_dedup.ORACLE}
