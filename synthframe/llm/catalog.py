@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, ngram_join, packing, pii, quality, secrets, topk, vector_dedup, word_tokens
+from . import byte_bpe, licenses, ngram_join, packing, pii, quality, secrets, topk, vector_dedup, word_tokens
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_counts": word_tokens.op3_token_counts,
     "op4_pii": pii.op4_pii,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_embedding_dedup": vector_dedup.op9_embedding_dedup,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
-ORACLE_SQL = {**ngram_join.ORACLE, **topk.ORACLE, **vector_dedup.ORACLE}
+ORACLE_SQL = {**licenses.ORACLE, **ngram_join.ORACLE, **topk.ORACLE, **vector_dedup.ORACLE}
