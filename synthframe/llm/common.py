@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import cut
+from ..session import cut, ship
 
 #: Rows that Python holds as objects at a time, whatever the size of an Arrow batch.
 SLICE_ROWS = 1024
@@ -23,6 +23,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id and text alone: other columns, whatever their names, stay out of the way."""
+    ship(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import SLICE_ROWS, map_columns, read, texts_of
 from .secrets import SPANS, digest_columns
 
@@ -241,6 +242,7 @@ def find_pii(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
 def redact_pii(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
     """docs with every found span replaced by its kind in angle brackets (<EMAIL>); n_chars, if there, follows. Overlapping
     spans are replaced together, by the first one's kind. Nulls stay null; all other columns stay as they are."""
+    ship(docs.sparkSession)
     own = docs.sparkSession.sparkContext.broadcast(model or fit_pii(docs))
     schema, names = docs.schema, docs.columns
 

@@ -7,9 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def vectors_of(df: DataFrame, *columns: str) -> DataFrame:
     """vec_id, v (array<double>) and the named columns, of the rows whose vector has components and only finite ones."""
+    ship(df.sparkSession)
     v = df["embedding"].cast("array<double>")
     rows = df.select(df["vec_id"].cast("long").alias("vec_id"), v.alias("v"), *[df[c] for c in columns])
     return rows.where(finite("v"))
