@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import profiling
+from . import encoding, profiling
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "profiling"]
+__all__ = ["ORACLES", "QUERIES", "encoding", "profiling"]
