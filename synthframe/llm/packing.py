@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import map_columns, read, texts_of
-from .word_tokens import ids_bytes, piece_tables, pieces, vocabulary
+from .word_tokens import ids_bytes, piece_tables, vocabulary
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
@@ -158,13 +158,13 @@ def _cut_pieces(table, capacity: int, end_id: int):
     end = ids_bytes([end_id])
 
     def make():
-        ids_of, seen = table().__getitem__, Counter()
+        values, seen = table().values, Counter()
         task = np.random.SeedSequence().entropy % (1 << 62)  # names this run of the task; only one run's rows are kept
 
         def fn(cols: dict) -> dict:
             out: dict = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "task", "local")}
-            for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
-                ids = b"".join(map(ids_of, pieces(text or ""))) + end
+            for doc_id, found in zip(cols["doc_id"], values([t or "" for t in cols["text"]]), strict=True):
+                ids = b"".join(found) + end
                 for k, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     length = len(part) // 4

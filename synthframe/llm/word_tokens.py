@@ -7,19 +7,21 @@ lacks is encoded by the library once and kept in the worker's own cache. No piec
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 
 from .common import map_columns, read, texts_of
 
 #: Rows whose pieces seed tier one, entries of tier one, and longest piece kept in either tier. They change only speed.
 SEED_ROWS, SEED_PIECES, LONGEST = 2000, 1 << 16, 64
-#: Entries of a worker's cache (about 100 MB); it is emptied when full.
-CACHE = 400_000
+#: Entries of each of a worker's two caches (about 100 MB each); one is emptied when full. Characters handled at a time.
+CACHE, GROUP = 500_000, 1 << 21
 
 #: Python's split() also splits at these, which the tokenizer doesn't take for white space.
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -43,21 +45,67 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-class PieceTable(dict):
-    """piece -> value of its ids; misses are encoded by the library. What tier one brought stays when the cache is emptied."""
+def folded(text: str) -> str:
+    """Lower case where that is sure to be what the tokenizer does itself: fewer pieces to know."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
-    def __init__(self, path: str, value, first: dict):
-        super().__init__(first)
-        self.first, self.value, self.encode = first, value, tokenizer(path).encode
 
-    def __missing__(self, piece: str):
-        found = self.value(self.encode(piece, add_special_tokens=False).ids)
-        if len(piece) <= LONGEST:
-            if len(self) >= CACHE + len(self.first):
-                self.clear()
-                self.update(self.first)
-            self[piece] = found
-        return found
+class PieceTable:
+    """piece -> value of its ids (their number, or their bytes). Tier one is there from the start and stays; what a group
+    of texts has besides is encoded by the library, all at once, and kept.
+
+    A new piece is first taken apart by the tokenizer's own pre-token pattern (where Python and the library agree on
+    character classes), so that a known word with new punctuation needs no encoding."""
+
+    def __init__(self, path: str, value, first: dict):
+        self.first, self.known, self.words = first, dict(first), dict(first)
+        self.value, self.join = value, sum if value is len else b"".join
+        self.encode = tokenizer(path).encode_batch_fast
+        self.split = regex.compile(pre_token_pattern(path)).findall
+
+    def values(self, texts: list[str]):
+        """The values of each text's pieces, GROUP characters of texts at a time."""
+        group, size = [], 0
+        for t in texts:
+            group.append(pieces(folded(t)))
+            size += len(t)
+            if size >= GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[str]]):
+        if len(self.known) > CACHE + len(self.first):
+            self.known = dict(self.first)
+        new = set().union(*group).difference(self.known)
+        if new:
+            self._learn(new)
+        for parts in group:
+            yield list(map(self.known.__getitem__, parts))
+        for p in new:
+            if len(p) > LONGEST:
+                del self.known[p]
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.words) > CACHE + len(self.first):
+            self.words = dict(self.first)
+        parts = {p: self.split(p) if ("<|" not in p and (p.isascii() or p.isprintable() and max(p) < "\u0100")) else [p] for p in new}
+        lacking = list(set().union(*parts.values()).difference(self.words))
+        found = {w: self.value(e.ids) for w, e in zip(lacking, self.encode(lacking, add_special_tokens=False), strict=True)} if lacking else {}
+        words = self.words
+        for p, own in parts.items():
+            self.known[p] = self.join([found[w] if w in found else words[w] for w in own])
+        words.update((w, v) for w, v in found.items() if len(w) <= LONGEST)
+
+
+def pre_token_pattern(path: str) -> str:
+    """The pattern that the tokenizer file splits words by."""
+    parts = json.loads(tokenizer(path).to_str())["pre_tokenizer"]["pretokenizers"]
+    return next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split")
 
 
 def ids_bytes(ids: list[int]) -> bytes:
@@ -71,7 +119,7 @@ def seed_pieces(docs: DataFrame, rows: int = SEED_ROWS) -> list[str]:
         def fn(cols: dict) -> dict:
             counts: Counter = Counter()
             for text in cols["text"]:
-                counts.update(p for p in pieces(text or "") if len(p) <= LONGEST)
+                counts.update(p for p in pieces(folded(text or "")) if len(p) <= LONGEST)
             top = counts.most_common(SEED_PIECES)
             return {"piece": [p for p, _ in top], "n": [n for _, n in top]}
 
@@ -115,11 +163,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     table = piece_tables(docs, path, len)
 
     def make():
-        count = table().__getitem__
+        values = table().values
 
         def fn(cols: dict) -> dict:
             texts = [t or "" for t in cols["text"]]
-            n = [sum(map(count, pieces(t))) for t in texts]
+            n = [sum(v) for v in values(texts)]
             return {"doc_id": cols["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
         return fn
