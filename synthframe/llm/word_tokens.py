@@ -20,8 +20,8 @@ from .common import map_columns, read, texts_of
 
 #: Rows whose pieces seed tier one, entries of tier one, and longest piece kept in either tier. They change only speed.
 SEED_ROWS, SEED_PIECES, LONGEST = 2000, 1 << 16, 64
-#: Entries of each of a worker's two caches (about 100 MB each); one is emptied when full. Characters handled at a time.
-CACHE, GROUP = 500_000, 1 << 21
+#: Entries of each of a worker's two caches (about 150 MB each); one is emptied when full. Characters handled at a time.
+CACHE, GROUP = 800_000, 1 << 21
 
 #: Python's split() also splits at these, which the tokenizer doesn't take for white space.
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -93,12 +93,24 @@ class PieceTable:
     def _learn(self, new: set[str]) -> None:
         if len(self.words) > CACHE + len(self.first):
             self.words = dict(self.first)
-        parts = {p: self.split(p) if ("<|" not in p and (p.isascii() or p.isprintable() and max(p) < "\u0100")) else [p] for p in new}
+        parts = {}
+        for p in new:
+            if p.isalpha():
+                parts[p] = (p,)
+            elif p[-1] in ".," and p[:-1].isalpha():
+                parts[p] = (p[:-1], p[-1])
+            elif "<|" not in p and (p.isascii() or max(p) < "\u0100"):
+                parts[p] = self.split(p)
+            else:
+                parts[p] = (p,)
         lacking = list(set().union(*parts.values()).difference(self.words))
         found = {w: self.value(e.ids) for w, e in zip(lacking, self.encode(lacking, add_special_tokens=False), strict=True)} if lacking else {}
         words = self.words
         for p, own in parts.items():
-            self.known[p] = self.join([found[w] if w in found else words[w] for w in own])
+            if len(own) == 1:
+                self.known[p] = found[own[0]] if own[0] in found else words[own[0]]
+            else:
+                self.known[p] = self.join([found[w] if w in found else words[w] for w in own])
         words.update((w, v) for w, v in found.items() if len(w) <= LONGEST)
 
 
