@@ -69,7 +69,7 @@ def segment_features(df: DataFrame, columns: Sequence[str], top: int = 100, bins
     best = [r["id"] for r in counts.orderBy(F.desc("count"), "id").limit(top).collect()]
     out = {"num_segments": F.size("_ids")}
     out |= {f"seg_{i}": F.array_contains("_ids", F.lit(i).cast("bigint")).cast("int") for i in best}
-    out |= {f"seg_hash_{k}": F.size(F.filter("_ids", lambda x, k=k: F.pmod(x, F.lit(bins)) == k)) for k in range(bins)}
+    out |= {f"seg_hash_{k}": F.expr(f"size(filter(_ids, x -> pmod(x, {bins}) = {k}))") for k in range(bins)}
     return rows.withColumns(out).drop("_ids")
 
 

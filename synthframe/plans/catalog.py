@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, profiling
+from . import encoding, evaluating, profiling
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "encoding", "profiling"]
+__all__ = ["ORACLES", "QUERIES", "encoding", "evaluating", "profiling"]
