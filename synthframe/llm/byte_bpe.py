@@ -1,10 +1,11 @@
 """Byte-level BPE by a lazily determinised transducer, and decoding by an incremental UTF-8 state machine.
 
 A sequence of tokens is what BPE makes of its bytes just when every token comes out of BPE whole and every neighbouring
-pair does. So encoding is a nondeterministic transducer: a hypothesis holds its last whole token, a place in the trie
-of tokens for the one under way, and the tokens not emitted yet. `Transducer` determinises it on demand: a state is the
-set of live hypotheses with what they haven't emitted, a step emits what all of them agree on, so the lookahead is as
-long as the hypotheses differ. States and steps are remembered, so known ground costs one lookup a byte.
+pair does. So encoding is a nondeterministic transducer: a hypothesis holds its last whole token and a place in the
+trie of tokens for the one under way. `Transducer` determinises it on demand: a state is the set of live hypotheses, a
+step gives the next state and the one token that ends at this byte if the text does. What was read is decided as soon
+as one hypothesis is left, so output follows after a lookahead that the vocabulary bounds, by walking back over the
+tokens that ended where the next ones begin. States and steps are remembered: known ground costs one lookup a byte.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame
 from .common import map_columns, read, texts_of
 from .word_tokens import vocabulary
 
-#: States of the determinised transducer before it starts afresh, pre-tokens that a worker keeps, and the longest kept.
-STATES, CACHE, LONGEST = 200_000, 300_000, 64
+#: States of the determinised transducer before it starts afresh, pre-tokens that a worker keeps, the longest kept, and
+#: bytes held back at most until the next decided place.
+STATES, CACHE, LONGEST, FLUSH = 200_000, 500_000, 64, 256
 _NEVER = 1 << 60
 
 
@@ -51,8 +53,8 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        start = ((-1, 0, ()),)
-        self.states, self.ids, self.step, self.last = [start], {start: 0}, {}, [()]
+        start = ((-1, 0),)
+        self.states, self.ids, self.step = [start], {start: 0}, {}
 
     def _halve(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge gives this one; None for a byte and for what merges never give."""
@@ -93,42 +95,49 @@ class Transducer:
             self.fit[key] = apart
         return self.fit[key]
 
-    def _make_step(self, state: int, byte: int) -> tuple[int, tuple]:
-        live = []
-        for last, node, held in self.states[state]:
+    def _make_step(self, state: int, byte: int) -> tuple[int, int]:
+        live, ending = [], None
+        for last, node in self.states[state]:
             node = self.child.get(node << 8 | byte)
             if node is None:
                 continue
             if node in self.inner:
-                live.append((last, node, held))
+                live.append((last, node))
             token = self.whole.get(node)
             if token is not None and (last < 0 or self.fits(last, token)):
-                live.append((token, 0, (*held, token)))
-        agreed, shortest = 0, min(len(x[2]) for x in live)
-        while agreed < shortest and len({x[2][agreed] for x in live}) == 1:
-            agreed += 1
-        emitted = live[0][2][:agreed]
-        key = tuple(sorted((last, node, held[agreed:]) for last, node, held in live))
+                if ending is not None:
+                    raise AssertionError("two tokenizations of one prefix")
+                ending = token
+        live.append((ending, 0))
+        key = tuple(sorted(live))
         if key not in self.ids:
             self.ids[key] = len(self.states)
             self.states.append(key)
-            (held,) = [x[2] for x in key if x[1] == 0]
-            self.last.append(held)
-        found = self.step[state << 8 | byte] = (self.ids[key], emitted)
+        found = self.step[state << 8 | byte] = (self.ids[key], ending)
         return found
 
+    def _walk_back(self, ending: list[int]) -> list[int]:
+        out, at, tokens = [], len(ending), self.tokens
+        while at:
+            token = ending[at - 1]
+            out.append(token)
+            at -= len(tokens[token])
+        out.reverse()
+        return out
+
     def encode(self, data: bytes) -> list[int]:
         if len(self.states) > STATES:
             self._forget()
         out: list[int] = []
-        state, steps = 0, self.step
+        ending: list[int] = []
+        state, get = 0, self.step.get
         for byte in data:
-            found = steps.get(state << 8 | byte) or self._make_step(state, byte)
-            state, emitted = found
-            if emitted:
-                out += emitted
-        out += self.last[state]
-        return out
+            state, token = get(state << 8 | byte) or self._make_step(state, byte)
+            ending.append(token)
+            if len(ending) >= FLUSH and len(self.states[state]) == 1:  # one hypothesis is left: all before is decided
+                out += self._walk_back(ending)
+                ending.clear()
+        return out + self._walk_back(ending)
 
 
 #: UTF-8 by lead byte: (first, last lead byte) -> state; by state: (first, last next byte) -> state. State 0 is between characters.
@@ -195,6 +204,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class PreTokens(dict):
+    """A worker's cache: pre-token -> (ids, their decimals each after a space)."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer = transducer
+
+    def __missing__(self, text: str) -> tuple:
+        ids = tuple(self.transducer.encode(text.encode()))
+        found = (ids, "".join([f" {i}" for i in ids]))
+        if len(text) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class Codec:
     """Pre-token pattern, transducer and decoder of one vocabulary, with a worker's cache of pre-tokens."""
 
@@ -202,22 +228,13 @@ class Codec:
         ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
         self.transducer, self.decoder = Transducer(ranks), Decoder({r: b for b, r in ranks.items()})
-        self.known: dict[str, tuple] = {}
+        self.known = PreTokens(self.transducer)
 
-    def pre_token(self, text: str) -> tuple:
-        """(ids, their decimals each after a space)"""
-        found = self.known.get(text)
-        if found is None:
-            ids = self.transducer.encode(text.encode())
-            found = (ids, "".join([f" {i}" for i in ids]))
-            if len(text) <= LONGEST:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[text] = found
-        return found
+    def parts(self, text: str) -> list[tuple]:
+        return list(map(self.known.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.pre_token(t)[0] for t in self.split(text)))
+        return list(chain.from_iterable([p[0] for p in self.parts(text)]))
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -261,7 +278,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         def fn(cols: dict) -> dict:
             out: dict = {"doc_id": cols["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for text in cols["text"]:
-                parts = list(map(own.pre_token, own.split(text or "")))
+                parts = own.parts(text or "")
                 ids = list(chain.from_iterable([p[0] for p in parts]))
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256("".join([p[1] for p in parts])[1:].encode()).hexdigest())
