@@ -100,7 +100,7 @@ class PieceTable:
             elif p[-1] in ".," and p[:-1].isalpha():
                 parts[p] = (p[:-1], p[-1])
             elif "<|" not in p and (p.isascii() or max(p) < "\u0100"):
-                parts[p] = self.split(p)
+                parts[p] = self.split(p.lower())  # as the tokenizer, which lower-cases first
             else:
                 parts[p] = (p,)
         lacking = list(set().union(*parts.values()).difference(self.words))
