@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, evaluating, modelling, profiling
+from . import encoding, evaluating, modelling, profiling, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "encoding", "evaluating", "modelling", "profiling"]
+__all__ = ["ORACLES", "QUERIES", "encoding", "evaluating", "modelling", "profiling", "streams"]
