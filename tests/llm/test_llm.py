@@ -1,0 +1,411 @@
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("synthframe.llm")
+
+from synthframe.llm import automaton, byte_bpe, catalog, licenses, ngram_join, packing, pii, quality, secrets, topk, vector_dedup, word_tokens  # noqa: E402
+
+from ..oracle import assert_same, connect  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+P = pytest.importorskip("public_tokenizers")
+WORDS, BYTES = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
+
+ODD_TEXTS = [None, "", " \t\n", "a", "a b", "a b c", "a b c", "é\x00x", "x" * 5000, "word " * 3000, "A B C", "日本語 テキスト 👩‍👩‍👧", "it's 'S, <|endoftext|> ok"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls anywhere, empty and long texts, repeated rows, clashing extra columns."""
+    rows = [(k if k != 3 else None, t, None, "src", 1, 0.5, "spans") for k, t in enumerate(ODD_TEXTS)]
+    rows += [rows[7], rows[7]]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, spans string")
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.where("false")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    assert_same(catalog.QUERIES[name](spark, SF).toPandas(), connect(SF).sql(catalog.ORACLE_SQL[name]).df())
+
+
+# 1 licenses
+
+
+def test_every_known_sentence_has_a_trigger_and_rules_name_known_ids():
+    known = licenses.known_sentences()
+    assert all(any(w in s for w in licenses.TRIGGERS) for s in known)
+    assert {i for seq, _ in licenses.rules() for i in seq.strip(",").split(",")} <= set(known.values())
+
+
+def test_license_texts(spark, odd, empty):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
+    texts = [mit, "Foo bar ###\nLicensed under CC BY-NC 4.0.\nmore", "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.", "a license of no kind", "Released under the MIT License.\nReleased under the MIT License."]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in got] == ["MIT", "CC-BY-NC-4.0", "Apache-2.0", "", "MIT"]
+    assert [r["n_sentences"] for r in got] == [2, 1, 2, 0, 2]
+    assert licenses.license_scan(odd).count() == odd.count() and licenses.license_scan(empty).count() == 0
+
+
+# 2 quality
+
+
+def test_isotonic_rises():
+    x, y = quality.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1.0]))
+    assert list(y) == [0, 0.5, 1] and (np.diff(x) > 0).all()
+
+
+def test_quality_on_held_out_rows(spark, docs, odd, empty):
+    sf = "/root/testdata/sf0.01"
+    got = catalog.QUERIES["op2_quality_classifier"](spark, sf).toPandas()
+    labels = pd.read_parquet(f"{sf}/labels.parquet")
+    assert (got["held_out"] == [zlib.crc32(str(d).encode()) % 5 == 0 for d in got["doc_id"]]).all()
+    assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.3)).all()
+    held = got[got["held_out"]].merge(labels, on="doc_id")
+    assert (held["predicted"] == held["quality"]).mean() > 0.95
+    known = spark.read.parquet(f"{sf}/labels.parquet")
+    assert quality.quality_scores(odd, known).count() == odd.count()
+    assert quality.quality_scores(empty, known).count() == 0
+    assert {r["score"] for r in quality.quality_scores(odd, known.where("false")).collect()} == {0.5}
+    kept = quality.keep_good(odd, known)
+    assert kept.columns == odd.columns and kept.count() <= odd.count()
+
+
+# 3 token counts, 7 packing
+
+
+def test_token_counts_are_the_librarys(spark, docs, odd, empty):
+    t = word_tokens.tokenizer(WORDS)
+    for table in (docs, odd):
+        want = Counter((r["doc_id"], len((r["text"] or "").encode()), len(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in table.collect())
+        got = word_tokens.token_counts(table, WORDS, 5).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
+        assert all(r["over_limit"] == (r["n_tokens"] > 5) for r in got)
+    assert word_tokens.token_counts(empty, WORDS).count() == 0
+
+
+def test_pieces_add_up_for_odd_characters():
+    t, table = word_tokens.tokenizer(WORDS), word_tokens.PieceTable(WORDS, len, {})
+    chars = [chr(c) for c in [*range(1, 0x250), *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x130, 0x3A3, 0x345]]
+    texts = [f"ab{c}Cd 'S{c}{c}1 {c}" for c in chars]
+    assert [sum(v) for v in table.values(texts)] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+@pytest.mark.parametrize("capacity", [7, 40, 4096])
+def test_packing_is_whole_gapless_and_within_capacity(docs, odd, capacity):
+    t = word_tokens.tokenizer(WORDS)
+    for table in (docs, odd):
+        want = Counter()
+        for r in table.collect():
+            ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+            want.update((r["doc_id"], k // capacity, k, len(ids[k : k + capacity]), zlib.crc32(ids[k : k + capacity].tobytes())) for k in range(0, len(ids), capacity))
+        got = packing.best_fit_packing(table, WORDS, capacity).collect()
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+        bins = defaultdict(list)
+        for r in got:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in bins.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity
+
+
+def test_packing_of_nothing(empty):
+    assert packing.best_fit_packing(empty, WORDS).count() == 0
+
+
+def _optimal(lengths, capacity):
+    best = [len(lengths)]
+
+    def go(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= capacity and bins[i] not in bins[:i]:
+                go(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        go(k + 1, [*bins, lengths[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_reduction_loses_no_optimum():
+    rng = random.Random(4)
+    for _ in range(150):
+        lengths = sorted((rng.randint(1, 12) for _ in range(rng.randint(1, 9))), reverse=True)
+        fixed, rest = packing.reduce_instance(dict(Counter(lengths)), 12)
+        assert all(sum(s) <= 12 for s, _ in fixed)
+        left = sorted((k for k, n in rest.items() for _ in range(n)), reverse=True)
+        assert sum(n for _, n in fixed) + (_optimal(left, 12) if left else 0) == _optimal(lengths, 12)
+
+
+def test_grouped_best_fit_is_piecewise_best_fit():
+    rng = random.Random(5)
+    for _ in range(200):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 40))]
+        rooms = []
+        for x in sorted(lengths, reverse=True):
+            fit = min((r for r in rooms if r >= x), default=None)
+            if fit is None:
+                rooms.append(20 - x)
+            else:
+                rooms[rooms.index(fit)] -= x
+        got = packing.best_fit(dict(Counter(lengths)), 20)
+        assert sum(n for _, n in got) == len(rooms)
+        assert sum(((Counter({k: q * n for k, q in parts})) for parts, n in got), Counter()) == Counter(lengths)
+
+
+# 4 personal data
+
+_BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _brute_pii(t):
+    ok = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(p) <= 255 for p in m.split(".")),
+        "card": lambda m: 14 <= len(re.sub("[^0-9]", "", m)) <= 19 and pii.luhn(re.sub("[^0-9]", "", m)),
+        "phone": lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    found = [(m.start(), k, m.end()) for k, p in _BASE.items() for m in re.finditer(p, t) if ok[k](m[0])]
+    return sorted(found, key=lambda s: (s[0], pii.KINDS.index(s[1])))
+
+
+def test_base_pii_spans_are_the_patterns():
+    rng = random.Random(1)
+    frag = ["a", "b.c", "@", "mail.com", ".", "1", "23", "4242", "4242424242424242", "+", " ", "-", "(", ")", "192.168.1.1", "é", "\n", "x@y.z", "+49 30 1234567", "٣", "0255", "%"]
+    for _ in range(5000):
+        t = "".join(rng.choice(frag) for _ in range(rng.randint(0, 25)))
+        assert pii.base_spans(t) == _brute_pii(t), t
+
+
+def test_pii_query_and_redaction(spark, docs, odd, empty):
+    got = {r["doc_id"]: r for r in catalog.QUERIES["op4_pii"](spark, SF).collect()}
+    for r in docs.collect():
+        base = _brute_pii(r["text"] or "")
+        listed = ",".join(f"{k}:{a}:{b}" for a, k, b in base)
+        row = got[r["doc_id"]]
+        assert row["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(listed.split(",")) <= set(row["spans"].split(","))
+        assert [row[f"n_{k}"] for k in pii.KINDS] == [sum(s[1] == k for s in base) for k in pii.KINDS]
+    assert pii.find_pii(odd).count() == odd.count() and pii.find_pii(empty).count() == 0
+    one = spark.createDataFrame([(1, "write to a.b@c.de now", 21), (2, None, None)], "doc_id long, text string, n_chars long")
+    assert [(r["text"], r["n_chars"]) for r in pii.redact_pii(one).orderBy("doc_id").collect()] == [("write to <EMAIL> now", 20), (None, None)]
+
+
+def test_estimation_trusts_labelers_that_agree():
+    vote = np.array([[1, 1, 1, 0, 1], [-1, -1, -1, 0, -1], [1, -1, 1, 0, 1]])
+    p, share, _ = pii.estimate(vote, np.array([100.0, 100.0, 3.0]))
+    assert p[0] > 0.99 and p[1] < 0.01 and 0.4 < share < 0.6
+    assert pii.luhn("4242424242424242") and not pii.luhn("4242424242424241")
+
+
+# 5 top-k, 9 near-dedup
+
+
+def test_top_k_edge_cases(spark):
+    rows = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [-1.0, 0.2]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (6, [1.0]), (40, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    got = topk.exact_top_k(df, df.where("vec_id % 20 = 0"), 2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 5120), (0, 2, 20, 5120), (20, 1, 0, 5120), (20, 2, 1, 5120)]
+    assert topk.exact_top_k(df.where("false"), df, 2).count() == 0
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(700, 12)), 2)
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = topk.exact_top_k(df, df.where("vec_id % 20 = 0"), 20).toPandas()
+    z = np.floor(64 * x).astype(np.int64)
+    for q in range(0, 700, 20):
+        s = z @ z[q]
+        want = sorted((-int(s[i]), i) for i in range(700) if i != q)[:20]
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert [(-a, b) for a, b in zip(own["score"], own["vec_id"], strict=True)] == want
+
+
+def test_near_dedup_edge_cases(spark, monkeypatch):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.05], 0), (3, [1.0, 0.0], 1), (4, [0.0, 0.0], 0), (5, None, 0), (6, [1.0, 0.0], None), (7, [float("inf"), 0.0], 0), (2, [1.0, 0.05], 0), (None, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"] > 0, r["component_id"], r["kept"]) for r in vector_dedup.embedding_near_dedup(df).collect()}
+    assert got[1] == (True, 1, True) and got[2] == (True, 1, False)
+    assert all(got[k] == (False, k, True) for k in (3, 4, 5, 6, 7)) and got[None][0] is False
+    assert vector_dedup.embedding_near_dedup(df.where("false")).count() == 0
+
+
+def test_near_dedup_in_blocks_and_cells(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(3, 16))
+    x = np.concatenate([b + 0.05 * rng.normal(size=(300, 16)) for b in base] + [rng.normal(size=(1500, 16))])
+    df = spark.createDataFrame([(int(i), [float(v) for v in r], int(i % 2)) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = vector_dedup.embedding_near_dedup(df).toPandas().set_index("vec_id").sort_index()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    same = (np.arange(len(x))[:, None] % 2) == (np.arange(len(x))[None, :] % 2)
+    want = ((u @ u.T >= 0.93) & same).sum(1) - 1
+    assert (got["n_links"].to_numpy() <= want).all() and got["n_links"].sum() >= 0.98 * want.sum()
+
+
+# 6 secrets
+
+_SECRET = {
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
+    "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+    "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+}
+
+
+def _brute_secrets(t):
+    return sorted((m.start(), k, m.end()) for k, (p, ok) in _SECRET.items() for m in p.finditer(t) if ok(m))
+
+
+def test_automaton_is_minimal_and_resets():
+    a, _ = secrets.automata(secrets.RULES)
+    assert (a.next.reshape(-1, 256)[:, 10] == 0).all()
+    small = automaton.compile_rules([("ab|cb", False)])
+    assert len(small.accepts) == 3
+
+
+def test_secret_spans_are_the_patterns(spark, odd, empty):
+    rng = random.Random(5)
+    frag = ["password", "TOKEN", "secret", "api_key", "apikey", "passwd", '"', "'", " ", ":", "=", "abcdef12", "0123456789abcdef", "AKIA", "ABCDEFGH1234", "é", ".", "-", "x", "\n", "ſecret"]
+    texts = ["".join(rng.choice(frag) for _ in range(rng.randint(0, 60))) for _ in range(800)] + ["f" * 3000, "z " * 4000 + "token=abcdefghij"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = {r.kind: k for k, r in enumerate(secrets.RULES)}
+    for r in secrets.find_secrets(df).collect():
+        got = [(s["start"], s["kind"], s["end"]) for s in r["spans"] if s["kind"] in _SECRET]
+        assert got == sorted(_brute_secrets(texts[r["doc_id"]]), key=lambda s: (s[0], order[s[1]]))
+    extra = spark.createDataFrame([(1, "key ghp_" + "A1" * 18 + " end"), (2, "-----BEGIN RSA PRIVATE KEY-----")], "doc_id long, text string")
+    assert [r["spans"][0]["kind"] for r in secrets.find_secrets(extra).orderBy("doc_id").collect()] == ["github", "pem"]
+    assert secrets.find_secrets(odd).count() == odd.count() and secrets.find_secrets(empty).count() == 0
+
+
+# 8 n-gram join
+
+
+def _brute_join(rows, n, percent):
+    sets = {}
+    for i, t in rows:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (1, 50)])
+def test_join_is_brute_force(spark, n, percent):
+    rng = random.Random(n)
+    rows, words = [], [f"w{k}" for k in range(300)]
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([2, 4, 12, 40, 150]))]
+        for _ in range(rng.randint(1, 6)):
+            t = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _brute_join(rows, n, percent)
+
+
+def test_join_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", (4, 4))
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(base[: 40 + i % 3] + [f"x{i}"] + base[41 + i % 3 :])) for i in range(30)]
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _brute_join(rows, 3, 90)
+
+
+def test_join_of_odd_rows(odd, empty):
+    got = ngram_join.ngram_jaccard_join(odd).collect()
+    assert len(got) == odd.count()
+    by = {r["doc_id"]: r for r in got}
+    assert by[0]["n_shingles"] == by[1]["n_shingles"] == by[2]["n_shingles"] == 0 and by[0]["component_id"] == 0
+    assert by[5]["component_id"] == by[6]["component_id"] == by[10]["component_id"] == 5
+    assert ngram_join.ngram_jaccard_join(empty).count() == 0
+
+
+def test_segments_differ_less_than_fragments():
+    for percent in (50, 80, 90, 95):
+        for level in range(40):
+            fragments, differ, _ = ngram_join.segment_plan(level, percent)
+            assert fragments > differ >= 0
+
+
+# 10 byte-level BPE
+
+
+def test_transducer_is_tiktoken():
+    tiktoken = pytest.importorskip("tiktoken")
+    own = byte_bpe.codec(BYTES, P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(BYTES), special_tokens={})
+    rng = random.Random(2)
+    tokens = list(own.transducer.ranks)
+    for _ in range(3000):
+        s = b"".join(rng.choice(tokens) for _ in range(rng.randint(1, 5))) if rng.random() < 0.7 else bytes(rng.choice(b"ab aeo") for _ in range(rng.randint(1, 60)))
+        assert own.transducer.encode(s) == enc._core_bpe.encode_single_piece(s)
+    for t in [t or "" for t in ODD_TEXTS] + [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}" for c in [*range(1, 0x400), 0x2028, 0x3000, 0x1F600]]:
+        ids = own.encode(t)
+        assert ids == enc.encode_ordinary(t) and own.decoder.decode(ids) == t.encode()
+
+
+def test_streaming_decoder_cuts_between_characters():
+    d = byte_bpe.Decoder({k: bytes([k]) for k in range(256)})
+    data = "aé日👩".encode()
+    assert [c.decode() for c in d.stream(list(data))] == list("aé日👩")
+    assert b"".join(d.stream([0xFF, 0x61, 0xE6])) == b"\xff\x61\xe6"
+
+
+def test_round_trip_query(odd, empty):
+    for r in byte_bpe.round_trip(odd, BYTES, P.PATTERN).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+        assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+    assert byte_bpe.round_trip(empty, BYTES, P.PATTERN).count() == 0
+    decoded = byte_bpe.decode_documents(byte_bpe.encode_documents(odd, BYTES, P.PATTERN), BYTES, P.PATTERN)
+    assert decoded.count() == odd.count()
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark, odd):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
+        assert stage(spark, odd, SF).columns == odd.columns
+        docs = out
+    pieces = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(pieces["doc_id"]) == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert pieces.groupby("sequence_id")["length"].sum().max() <= 4096
