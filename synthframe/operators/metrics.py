@@ -110,7 +110,7 @@ def _cdf_table(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) ->
 
     counts = long(real, 1, 0).union(long(synthetic, 0, 1)).groupBy("column", "x").agg(F.sum("nr").alias("nr"), F.sum("ns").alias("ns"))
     t = running_sums(counts, "x", ["nr", "ns"], ["column"])
-    return t.select("column", "x", "next_x", (F.col("cum_nr") / F.col("total_nr")).alias("fr"), (F.col("cum_ns") / F.col("total_ns")).alias("fs"))
+    return t.select("column", "x", "next_x", F.try_divide("cum_nr", "total_nr").alias("fr"), F.try_divide("cum_ns", "total_ns").alias("fs"))
 
 
 def wasserstein(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -133,7 +133,7 @@ def _histograms(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -
 
     counts = long(real, 1, 0).union(long(synthetic, 0, 1)).groupBy("column", "value").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
     over = Window.partitionBy("column")
-    return counts.select("column", "value", (F.col("r") / F.sum("r").over(over)).alias("p"), (F.col("s") / F.sum("s").over(over)).alias("q"))
+    return counts.select("column", "value", F.try_divide(F.col("r"), F.sum("r").over(over)).alias("p"), F.try_divide(F.col("s"), F.sum("s").over(over)).alias("q"))
 
 
 def jensen_shannon(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -181,7 +181,7 @@ def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFram
 def classification_scores(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """accuracy, macro_f1."""
     report = classification_report(df, truth, predicted)
-    return report.agg((F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
+    return report.agg(F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
 
 
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -189,13 +189,13 @@ def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     counts = df.where(_q(score).isNotNull() & _q(truth).isNotNull()).groupBy(_q(score).cast("double").alias("x")).agg(F.sum((_q(truth) == 1).cast("long")).alias("p"), F.sum((_q(truth) == 0).cast("long")).alias("n"))
     t = running_sums(counts, "x", ["p", "n"])
     wins = F.sum(F.col("p") * (F.col("cum_n") - F.col("n") / 2))
-    return t.agg((wins / (F.first("total_p") * F.first("total_n"))).alias("auc"))
+    return t.agg(F.try_divide(wins, F.first("total_p") * F.first("total_n")).alias("auc"))
 
 
 def regression_scores(df: DataFrame, truth: str, predicted: str, std: float = 1.0) -> DataFrame:
     """rmse (times std) and r2."""
     y, e = _q(truth).cast("double"), _q(truth).cast("double") - _q(predicted).cast("double")
-    return df.agg((F.sqrt(F.avg(e * e)) * F.lit(std)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"))
+    return df.agg((F.sqrt(F.avg(e * e)) * F.lit(std)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"))
 
 
 def seeds_report(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:

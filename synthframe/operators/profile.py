@@ -53,7 +53,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, accuracy: i
         "q25": quantile(0.25),
         "q75": quantile(0.75),
         "zeros": lambda c: F.count_if(_q(c) == 0),
-        "zero_pct": lambda c: F.count_if(_q(c) == 0) * 100.0 / F.count(_q(c)),
+        "zero_pct": lambda c: F.try_divide(F.count_if(_q(c) == 0) * 100.0, F.count(_q(c))),
     }
     return column_facts(df, facts, columns, {"n": "long", "zeros": "long"})
 
@@ -122,7 +122,7 @@ def dataset_stats(df: DataFrame, high: float = 0.8, first: int = 10) -> DataFram
         F.lit(len(df.columns)).cast("long").alias("n_columns"),
         F.lit(len(numeric_columns(df))).cast("long").alias("n_numeric"),
         F.lit(len(string_columns(df))).cast("long").alias("n_categorical"),
-        (missing * 100.0 / (F.count(F.lit(1)) * len(df.columns))).alias("missing_pct"),
+        F.try_divide(missing * 100.0, F.count(F.lit(1)) * len(df.columns)).alias("missing_pct"),
         many.cast("long").alias("n_high_cardinality"),
     )
 
