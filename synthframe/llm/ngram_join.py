@@ -217,14 +217,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     Other columns of docs are not read; an empty table gives an empty result."""
     docs = texts_of(docs)
     signed = cut(map_columns(docs, _signed(n, percent), "doc_id long, n_shingles long, key binary, segments array<long>"), "signed")
-    classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    # written out, so that joins with it deal both sides out anew and a crowded key's rows can be split over tasks
+    classes = cut(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.where("rep is not null").select("key", F.col("rep").alias("doc_id"))
     postings = (
         signed.join(reps.withColumnRenamed("key", "rep_key"), "doc_id")
         .where("key = rep_key")
         .select(F.col("doc_id").alias("d"), "n_shingles", F.explode("segments").alias("segment"))
     )
-    pivots = postings.groupBy("segment").agg(F.min("d").alias("p"), F.max("d").alias("last")).where("p <> last").select("segment", "p")
+    pivots = cut(postings.groupBy("segment").agg(F.min("d").alias("p"), F.max("d").alias("last")).where("p <> last").select("segment", "p"), "pivots")
     star = cut(postings.join(pivots, "segment").groupBy("p", "d").agg(F.min("n_shingles").alias("n")), "star")
     groups = star.groupBy("p").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).where("docs > 1")
     low, high = BLOCK_DOCS
