@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import normal_quantile
+from ..functions.ordered import with_row_number
 from .infer import roles_by_type
 from .profile import value_counts
 
@@ -124,7 +125,7 @@ def empirical_distribution(df: DataFrame, columns: Sequence[str], nulls: bool =
 def level_table(df: DataFrame, column: str) -> DataFrame:
     """value, code: sorted distinct non-null levels, 0-based."""
     levels = df.select(_q(column).alias("value")).where("value is not null").distinct()
-    return levels.withColumn("code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("value")) - 1)
+    return with_row_number(levels, ["value"], "code").select("value", F.col("code").cast("int").alias("code"))
 
 
 def label_codes(df: DataFrame, column: str, name: str | None = None, fit_on: DataFrame | None = None, unseen: str = "null") -> DataFrame:
