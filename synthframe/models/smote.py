@@ -15,16 +15,17 @@ from .base import Synthesizer, register
 class Smote(Synthesizer):
     """Rows between a row and one of its k nearest neighbours of the same class (numbers standardised): numbers are
     interpolated, other columns take the value of one of the two. Classes keep their shares; without numbers, or for a
-    class of one row, rows are drawn as they are."""
+    class of one row, rows are drawn as they are. For a regression the classes are the target's values up to and above its
+    median, and the target is interpolated like the other numbers."""
 
-    def __init__(self, seed: int = 0, target: str | None = None, k: int = 5, edge: float = 0.0):
+    def __init__(self, seed: int = 0, target: str | None = None, k: int = 5, edge: float = 0.0, regression: bool = False):
         super().__init__(seed)
-        self.target, self.k, self.edge = target, k, edge
+        self.target, self.k, self.edge, self.regression = target, k, edge, regression
 
     def _fit(self, df: DataFrame) -> None:
         target = self.target or df.columns[-1]
         self.state["target"] = target
-        numbers = [c for c in numeric_columns(df) if c != target]
+        numbers = [c for c in numeric_columns(df) if c != target or self.regression]
         self.state["numbers"] = numbers
         rows = cut(with_row_number(df, df.columns, "_row"), "smote")
         self.tables["rows"] = rows
@@ -33,7 +34,10 @@ class Smote(Synthesizer):
             return
         row = rows.agg(*[F.struct(F.avg(f"`{c}`"), F.stddev_pop(f"`{c}`")).alias(c) for c in numbers]).first()
         z = F.array(*[F.coalesce((F.col(f"`{c}`") - F.lit(row[c][0])) / F.lit(row[c][1] or 1.0), F.lit(0.0)) for c in numbers])
-        points = rows.select("_row", z.alias("z"), F.coalesce(F.col(f"`{target}`").cast("string"), F.lit("")).alias("c"))
+        own = F.col(f"`{target}`")
+        if self.regression:
+            own = own > F.lit(rows.agg(F.percentile(own.cast("double"), F.lit(0.5))).first()[0])
+        points = rows.select("_row", z.alias("z"), F.coalesce(own.cast("string"), F.lit("")).alias("c"))
         self.tables["near"] = cut(nearest(points, points, self.k, id_column="_row", vector="z", label="c", exclude_self=True).select("id", "near_id", "rank"), "near")
 
     def _sample(self, n: int, seed: int) -> DataFrame:
