@@ -1,8 +1,8 @@
 """Token counts and ids of a word-level BPE, by a map-side two-tier lookup.
 
 The tokenizer drops white space and no token crosses it, so a text's tokens are those of its white-space-delimited pieces
-one after another. Tier one is a compact table of frequent pieces, built from a bounded sample and broadcast; what it
-lacks is encoded by the library once and kept in the worker's own cache. No piece is ever shuffled.
+one after another. Tier one is a compact table of frequent pieces, from the vocabulary's own ranks, and is broadcast; what
+it lacks is encoded by the library once and kept in the worker's own cache. No piece is ever shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import Counter
 
 import numpy as np
 import regex
@@ -18,8 +17,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_columns, read, texts_of
 
-#: Rows whose pieces seed tier one, entries of tier one, and longest piece kept in either tier. They change only speed.
-SEED_ROWS, SEED_PIECES, LONGEST = 2000, 1 << 16, 64
+#: Entries of tier one, and longest piece kept in either tier. They change only speed.
+SEED_PIECES, LONGEST = 1 << 16, 64
 #: Entries of each of a worker's two caches (about 150 MB each); one is emptied when full. Characters handled at a time.
 CACHE, GROUP = 800_000, 1 << 21
 
@@ -124,39 +123,27 @@ def ids_bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def seed_pieces(docs: DataFrame, rows: int = SEED_ROWS) -> list[str]:
-    """Frequent pieces of a bounded sample of rows: SEED_PIECES at most, 4 MB at most."""
-
-    def make():
-        def fn(cols: dict) -> dict:
-            counts: Counter = Counter()
-            for text in cols["text"]:
-                counts.update(p for p in pieces(folded(text or "")) if len(p) <= LONGEST)
-            top = counts.most_common(SEED_PIECES)
-            return {"piece": [p for p, _ in top], "n": [n for _, n in top]}
-
-        return fn
-
-    counts = map_columns(docs.select("text").limit(rows), make, "piece string, n long").groupBy("piece").sum("n")
-    return [r[0] for r in counts.orderBy("sum(n)", "piece", ascending=[False, True]).limit(SEED_PIECES).collect()]
+def frequent_pieces(path: str, most: int = SEED_PIECES) -> list[str]:
+    """Whole words of the tokenizer's vocabulary, by rank: merges were learned in the order of frequency, so these are the
+    frequent pieces of text at large. Data don't enter, so there is no pass for it."""
+    words = sorted((k, w[:-4]) for w, k in tokenizer(path).get_vocab().items() if w.endswith("</w>"))
+    return [w for _, w in words if w and w.isascii() and w.isprintable() and "<|" not in w and len(w) <= LONGEST][:most]
 
 
 def piece_tables(docs: DataFrame, path: str, value):
-    """A function that gives a worker its table; the broadcast holds tier one as one string and one array of lengths."""
-    words = seed_pieces(docs)
-    encoded = [e.ids for e in tokenizer(path).encode_batch(words, add_special_tokens=False)] if words else []
+    """A function that gives a worker its table; the broadcast holds tier one as one string and two arrays (about 1 MB)."""
+    words = frequent_pieces(path)
+    encoded = [e.ids for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)] if words else []
     tier = docs.sparkSession.sparkContext.broadcast(
         (" ".join(words), np.array([len(e) for e in encoded], np.uint16), np.array([i for e in encoded for i in e], "<u4"))
     )
-    held: dict = {}
 
     def table() -> PieceTable:
-        key = (path, value.__name__, tier.id if hasattr(tier, "id") else 0)
+        key = (path, value.__name__)
         if key not in _tables:
             joined, lengths, ids = tier.value
             ends = np.cumsum(lengths)
-            _tables.clear()
-            _tables[key] = PieceTable(path, value, {w: value(ids[e - n : e].tolist()) for w, n, e in zip(joined.split(" "), lengths.tolist(), ends.tolist(), strict=True)} if len(lengths) else held)
+            _tables[key] = PieceTable(path, value, {w: value(ids[e - n : e].tolist()) for w, n, e in zip(joined.split(" "), lengths.tolist(), ends.tolist(), strict=True)} if len(lengths) else {})
         return _tables[key]
 
     return table
