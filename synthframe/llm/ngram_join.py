@@ -127,18 +127,30 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _signed(n: int, percent: int):
-    """For map_columns: n-gram count, class key and segment signatures of each document."""
+def _keys(n: int):
+    """For map_columns: n-gram count and class key of each document."""
 
     def make():
         def fn(cols: dict) -> dict:
             sets = [gram_set(t, n) for t in cols["text"]]
-            return {
-                "doc_id": cols["doc_id"],
-                "n_shingles": [len(s) for s in sets],
-                "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "segments": [signatures(s, percent).view(np.int64) for s in sets],
-            }
+            return {"doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "key": [_key(s) for s in sets]}
+
+        return fn
+
+    return make
+
+
+def _key(grams: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
+
+
+def _segments(n: int, percent: int):
+    """For map_columns: the same key, and segment signatures."""
+
+    def make():
+        def fn(cols: dict) -> dict:
+            sets = [gram_set(t, n) for t in cols["text"]]
+            return {"d": cols["doc_id"], "key": [_key(s) for s in sets], "n": [len(s) for s in sets], "segments": [signatures(s, percent).view(np.int64) for s in sets]}
 
         return fn
 
@@ -216,15 +228,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     are one node. A null doc_id stays a row of its own: its component is that of its copies with an id, or null.
     Other columns of docs are not read; an empty table gives an empty result."""
     docs = texts_of(docs)
-    signed = cut(map_columns(docs, _signed(n, percent), "doc_id long, n_shingles long, key binary, segments array<long>"), "signed")
+    signed = cut(map_columns(docs, _keys(n), "doc_id long, n_shingles long, key binary"), "signed")
     # written out, so that joins with it deal both sides out anew and a crowded key's rows can be split over tasks
     classes = cut(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.where("rep is not null").select("key", F.col("rep").alias("doc_id"))
-    postings = (
-        signed.join(reps.withColumnRenamed("key", "rep_key"), "doc_id")
-        .where("key = rep_key")
-        .select(F.col("doc_id").alias("d"), "n_shingles", F.explode("segments").alias("segment"))
-    )
+    copies = cut(signed.join(classes, "key").where("doc_id <> rep").select(F.col("doc_id").alias("d"), "key").distinct(), "copies")
+    few = copies.count() <= BROADCAST_ROWS
+    # signatures are made twice rather than kept: they are larger than all else that is dealt out
+    segments = map_columns(docs, _segments(n, percent), "d long, key binary, n long, segments array<long>").where("d is not null and key is not null")
+    segments = segments.join(F.broadcast(copies) if few else copies, ["d", "key"], "left_anti")
+    postings = segments.select("d", F.col("n").alias("n_shingles"), F.explode("segments").alias("segment"))
     pivots = cut(postings.groupBy("segment").agg(F.min("d").alias("p"), F.max("d").alias("last")).where("p <> last").select("segment", "p"), "pivots")
     star = cut(postings.join(pivots, "segment").groupBy("p", "d").agg(F.min("n_shingles").alias("n")), "star")
     groups = star.groupBy("p").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).where("docs > 1")
