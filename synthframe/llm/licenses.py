@@ -8,6 +8,8 @@ up at all."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,13 +89,15 @@ def normalised(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
+def _texts() -> list[tuple[str, str]]:
+    """(sentence, identifier)"""
+    found = [(s, name) for name, texts in _PLAIN.items() for s in texts]
+    return found + [(s.replace("{v}", str(v)), name.replace("{v}", str(v))) for name, (versions, texts) in _VERSIONED.items() for v in versions for s in texts]
+
+
 def known_sentences() -> dict[str, str]:
     """Normalised sentence -> identifier."""
-    found = {normalised(s): name for name, texts in _PLAIN.items() for s in texts}
-    for name, (versions, texts) in _VERSIONED.items():
-        for v in versions:
-            found |= {normalised(s.replace("{v}", str(v))): name.replace("{v}", str(v)) for s in texts}
-    return found
+    return {normalised(s): name for s, name in _texts()}
 
 
 def rules() -> list[tuple[str, str]]:
@@ -105,21 +109,44 @@ def rules() -> list[tuple[str, str]]:
     return out
 
 
+def parts(sentence: str) -> tuple[str, ...]:
+    """The normalised parts that the cut makes of a sentence: more than one where it has a '.', ':' or ';' inside."""
+    return tuple(filter(None, map(normalised, re.split(r"[.!?:;]+[ \t\n]+", sentence))))
+
+
+def known_parts() -> tuple[dict[str, str], list[tuple[tuple[str, ...], str]]]:
+    """(part -> code, [(codes in a row, identifier)], longest first). A sentence of one part has its identifier as code;
+    codes of further sentences' parts begin with '+'."""
+    codes, rows = {}, []
+    for sentence, name in _texts():
+        own = parts(sentence)
+        if len(own) == 1:
+            codes[own[0]] = name
+        else:
+            rows.append((tuple(codes.setdefault(p, f"+{len(codes)}") for p in own), name))
+    return codes, sorted(rows, key=lambda r: -len(r[0]))
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
 def _spark_sql(column: str) -> tuple[str, str]:
-    """(expression of the identifiers of a text's sentences, condition for looking at all)"""
-    known = known_sentences()
-    keys = ", ".join(map(_quoted, known))
-    values = ", ".join(_quoted(v) for v in known.values())
+    """(expression of the identifiers of a text's sentences with lines as borders, the same with lines joined)"""
+    codes, rows = known_parts()
+    keys = ", ".join(map(_quoted, codes))
+    values = ", ".join(map(_quoted, codes.values()))
     low = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
     def stream(lines: str) -> str:
         bounded = f"regexp_replace({lines}, '[.!?:;]+[\\\\x20\\\\t\\\\n]+', '\\n')"
-        plain = "trim(regexp_replace(s, '[^a-z0-9]+', ' '))"
-        return f"filter(transform(split({bounded}, '\\n+'), s -> element_at(map_from_arrays(array({keys}), array({values})), {plain})), x -> x is not null)"
+        plain = f"filter(transform(split({bounded}, '\\n+'), s -> trim(regexp_replace(s, '[^a-z0-9]+', ' '))), p -> p <> '')"
+        # an unknown part is a bar, so that only neighbours make a row
+        coded = f"transform({plain}, p -> coalesce(element_at(map_from_arrays(array({keys}), array({values})), p), '|'))"
+        joined = f"concat(',', array_join({coded}, ',,'), ',')"
+        for row, name in rows:
+            joined = f"replace({joined}, {_quoted(',' + ',,'.join(row) + ',')}, {_quoted(',' + name + ',')})"
+        return f"filter(split({joined}, ',+'), x -> x <> '' and x <> '|' and not startswith(x, '+'))"
 
     joined = f"regexp_replace(regexp_replace({low}, '\\\\n[\\\\x20\\\\t]*\\\\n', '.\\n'), '([^.!?:;])\\\\n', '$1 ')"
     return stream(low), stream(joined)

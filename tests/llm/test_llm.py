@@ -63,6 +63,22 @@ def test_license_texts(spark, odd, empty):
     assert licenses.license_scan(odd).count() == odd.count() and licenses.license_scan(empty).count() == 0
 
 
+def test_every_known_sentence_and_rule_is_found(spark):
+    texts = licenses._texts()
+    got = licenses.license_scan(spark.createDataFrame([(k, s + ".") for k, (s, _) in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["sentence_ids"] for r in got] == [name for _, name in texts]
+    first = {name: s for s, name in reversed(texts)}
+    rules = licenses.rules()
+    got = licenses.license_scan(spark.createDataFrame([(k, "\n".join(first[i] + "." for i in seq.strip(",").split(","))) for k, (seq, _) in enumerate(rules)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["licenses"], r["leftover"].strip(",")) for r in got] == [(name, "") for _, name in rules]
+    # notices as they stand in source files; parts that aren't neighbours are no sentence
+    gpl = "Copyright (C) A\n\nThis program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without more.\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of it was not distributed. */"
+    got = licenses.license_scan(spark.createDataFrame([(0, gpl), (1, mpl), (2, mpl.replace("v. 2.0", "v. see 2.0")), (3, "A license. 2.0. v. 2.0")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in got] == ["GPL-2.0-or-later", "MPL-2.0", "", ""]
+    assert got[2]["sentence_ids"] == got[3]["sentence_ids"] == ""
+
+
 # 2 quality
 
 
