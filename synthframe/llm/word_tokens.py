@@ -45,7 +45,10 @@ def tokenizer(path: str):
 
 
 def folded(text: str) -> str:
-    """Lower case where that is sure to be what the tokenizer does itself: fewer pieces to know."""
+    """Lower case where that is sure to be what the tokenizer does itself: fewer pieces to know. Special strings are matched
+    by exact case before it lower-cases, so a text that may hold one stays as it is."""
+    if "<|" in text:
+        return text
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:

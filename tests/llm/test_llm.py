@@ -123,6 +123,18 @@ def test_pieces_add_up_for_odd_characters():
     assert [sum(v) for v in table.values(texts)] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_special_strings_count_by_exact_case(spark):
+    t = word_tokens.tokenizer(WORDS)
+    specials = [a.content for a in t.get_added_tokens_decoder().values()]
+    assert specials
+    texts = [f"{a}{v}{b}" for s in specials for v in (s, s.upper(), s.title(), s.swapcase()) for a, b in (("", ""), ("One ", " TWO"), ("Ab", "Cd."), ("\u0100 X", " Y"))]
+    ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_tokens"] for r in word_tokens.token_counts(docs, WORDS).orderBy("doc_id").collect()] == list(map(len, ids))
+    pieces = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.best_fit_packing(docs, WORDS, 4096).collect()}
+    assert [pieces[k] for k in range(len(texts))] == [(len(i) + 1, zlib.crc32(np.array([*i, 1], "<u4").tobytes())) for i in ids]
+
+
 @pytest.mark.parametrize("capacity", [7, 40, 4096])
 def test_packing_is_whole_gapless_and_within_capacity(docs, odd, capacity):
     t = word_tokens.tokenizer(WORDS)
