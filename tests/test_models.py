@@ -1,9 +1,12 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from synthframe import models
 from synthframe.cli import run_task
 from synthframe.models.base import load_model
+from synthframe.operators import neighbors
+from synthframe.operators.sample import bootstrap
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +32,35 @@ def test_copula_keeps_the_correlation(people):
     assert rows.agg(F.corr("age", "income")).first()[0] > 0.9
 
 
+def test_langevin_steps_on_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(3000, 2)), rng.normal(size=(3000, 2)) + 6])
+    rows = spark.createDataFrame([(float(a), float(b), "LR"[k // 3000]) for k, (a, b) in enumerate(x)], "x double, id double, side string")
+    model = models.create("langevin", seed=2, steps=3, size=0.3).fit(rows)
+    got = model.sample(80).orderBy("x").toPandas()
+    # the same steps on the whole matrix, from the same drawn rows and noise
+    own = bootstrap(rows, 80, rows.columns, 2).orderBy("sample_id").toPandas()
+    scale = np.array(model.state["scale"])
+    t, y = (x - scale[:, 0]) / scale[:, 1], (own[["x", "id"]].to_numpy() - scale[:, 0]) / scale[:, 1]
+    side = np.repeat(["L", "R"], 3000)
+    draws = np.stack([np.random.default_rng([2, int(i)]).normal(size=(4, 2)) for i in own["sample_id"]])
+    y = y + 0.01 * draws[:, 0]
+    same = own["side"].to_numpy()[:, None] == side[None, :]
+    for s in range(3):
+        away = y[:, None, :] - t[None, :, :]
+        d = np.linalg.norm(away, axis=2)
+        unit = away / np.maximum(d, 1e-12)[:, :, None]
+        grad = unit[np.arange(80), d.argmin(1)] + (unit * same[:, :, None]).sum(1) / (same.sum(1) + 1e-6)[:, None]
+        y = y - 0.3 * grad + np.sqrt(0.6) * 0.01 * draws[:, s + 1]
+    target = side[np.linalg.norm(y[:, None, :] - t[None, :, :], axis=2).argmin(1)]
+    y = y * scale[:, 1] + scale[:, 0]
+    order = y[:, 0].argsort()
+    assert np.allclose(got[["x", "id"]].to_numpy(), y[order], atol=1e-6) and got["side"].tolist() == target[order].tolist()
+    monkeypatch.setattr(neighbors, "WAVE", 2500)
+    again = model.sample(80).orderBy("x").toPandas()
+    assert np.allclose(again[["x", "id"]], got[["x", "id"]], atol=1e-6) and again["side"].tolist() == got["side"].tolist()
+
+
 def test_save_and_load(spark, people, tmp_path):
     folder = "file://" + str(tmp_path / "m")
     model = models.create("bayesian_network", seed=5, bins=6).fit(people)
