@@ -131,40 +131,41 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _spark_sql(column: str) -> tuple[str, str]:
-    """(expression of the identifiers of a text's sentences with lines as borders, the same with lines joined)"""
+def _spark_sql(column: str) -> str:
+    """Expression of the identifiers of a text's sentences.
+
+    Each border of the cut with joined lines is one of the line-wise cut too, so line-wise parts lie inside joined ones:
+    joined line ends become a mark, and a part that isn't known with its lines joined is cut at its marks."""
     codes, rows = known_parts()
     keys = ", ".join(map(_quoted, codes))
     values = ", ".join(map(_quoted, codes.values()))
-    low = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    low = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ\\u0001', 'abcdefghijklmnopqrstuvwxyz ')"
+    joined = f"regexp_replace(regexp_replace({low}, '\\\\n[\\\\x20\\\\t]*\\\\n', '.\\n'), '([^.!?:;])\\\\n', '$1\\u0001')"
+    bounded = f"regexp_replace({joined}, '[.!?:;]+[\\\\x20\\\\t\\\\n]+', '\\n')"
 
-    def stream(lines: str) -> str:
-        bounded = f"regexp_replace({lines}, '[.!?:;]+[\\\\x20\\\\t\\\\n]+', '\\n')"
-        plain = f"filter(transform(split({bounded}, '\\n+'), s -> trim(regexp_replace(s, '[^a-z0-9]+', ' '))), p -> p <> '')"
-        # an unknown part is a bar, so that only neighbours make a row
-        coded = f"transform({plain}, p -> coalesce(element_at(map_from_arrays(array({keys}), array({values})), p), '|'))"
-        joined = f"concat(',', array_join({coded}, ',,'), ',')"
-        for row, name in rows:
-            joined = f"replace({joined}, {_quoted(',' + ',,'.join(row) + ',')}, {_quoted(',' + name + ',')})"
-        return f"filter(split({joined}, ',+'), x -> x <> '' and x <> '|' and not startswith(x, '+'))"
+    def coded(part: str) -> str:
+        return f"element_at(map_from_arrays(array({keys}), array({values})), trim(regexp_replace({part}, '[^a-z0-9]+', ' ')))"
 
-    joined = f"regexp_replace(regexp_replace({low}, '\\\\n[\\\\x20\\\\t]*\\\\n', '.\\n'), '([^.!?:;])\\\\n', '$1 ')"
-    return stream(low), stream(joined)
+    # an unknown part is a bar, so that only neighbours make a row; one without letters and digits is nothing
+    lines = f"transform(filter(split(s, '\\u0001+'), l -> l rlike '[a-z0-9]'), l -> coalesce({coded('l')}, '|'))"
+    found = f"transform(split({bounded}, '\\n+'), s -> transform(array({coded('s')}), c -> case when c is null then array_join({lines}, ',,') else c end)[0])"
+    row = f"concat(',', array_join(filter({found}, x -> x <> ''), ',,'), ',')"
+    for own, name in rows:
+        row = f"replace({row}, {_quoted(',' + ',,'.join(own) + ',')}, {_quoted(',' + name + ',')})"
+    return f"filter(split({row}, ',+'), x -> x <> '' and x <> '|' and not startswith(x, '+'))"
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known license sentences), sentence_ids and licenses (comma-joined, in order of the text and of the
     rules), leftover (known sentences that no rule has used).
 
-    A null or empty text has none. Of the two ways to cut sentences the one that finds more counts, the line-wise one
-    on a tie. One row per input row, repeated ones too; other columns are not read."""
-    lines, joined = _spark_sql("text")
+    A null or empty text has none. A sentence counts if either way to cut finds it; one with its lines joined counts once,
+    whatever its lines hold. One row per input row, repeated ones too; other columns are not read."""
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     look = " or ".join(f"contains({low}, '{w}')" for w in TRIGGERS)
     none = "cast(array() as array<string>)"
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    ids = texts.select("doc_id", F.expr(f"case when {look} then {lines} else {none} end").alias("a"), F.expr(f"case when {look} then {joined} else {none} end").alias("b"))
-    ids = ids.select("doc_id", F.expr("case when size(b) > size(a) then b else a end").alias("ids"))
+    ids = texts.select("doc_id", F.expr(f"case when {look} then {_spark_sql('text')} else {none} end").alias("ids"))
     return ids.select("doc_id", F.expr("cast(size(ids) as long)").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), _matched().alias("m")).select(
         "doc_id", "n_sentences", "sentence_ids", F.array_join("m.licenses", ",").alias("licenses"), F.regexp_replace(F.expr("trim(both ',' from m.rest)"), "[,|]+", ",").alias("leftover")
     )

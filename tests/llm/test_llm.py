@@ -79,6 +79,18 @@ def test_every_known_sentence_and_rule_is_found(spark):
     assert got[2]["sentence_ids"] == got[3]["sentence_ids"] == ""
 
 
+def test_both_cuts_of_a_text_count(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\nRedistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer.\n\nRedistributions in binary form must reproduce the above copyright notice,\nthis list of conditions and the following disclaimer in the documentation\nand/or other materials provided with the distribution.\n"
+    title = "Licensed under CC BY-NC 4.0\nordinary prose goes on\n\n"
+    wrapped = "This work is licensed under\nCC BY 4.0.\n"
+    gpl = "A title\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    texts = [title + bsd, bsd + "\n" + title, title + "Released under the MIT license\nmore prose\n\n" + bsd, wrapped, gpl, "Licensed under\x01the MIT license.", "foo Licensed under the Apache License, Version 2.0\n(the \"License\").\nLicensed under the Apache License, Version 2.0\n(the \"License\")."]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    three = "BSDpre,BSDsource,BSDbinary"
+    assert [r["sentence_ids"] for r in got] == [f"CCBYNC4.0,{three}", f"{three},CCBYNC4.0", f"CCBYNC4.0,MITname,{three}", "CCBY4.0", "GPL3ref", "MITname", "Apache2.0"]
+    assert got[0]["licenses"] == "BSD-2-Clause,CC-BY-NC-4.0"
+
+
 # 2 quality
 
 
