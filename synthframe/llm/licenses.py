@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-# Every known sentence has one of these words, in either case.
-TRIGGERS = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain")
+# Every known sentence has one of these words, in either case. None has white space, which texts break at.
+TRIGGERS = ("licen", "copyright", "permission", "warrant", "redistribut", "domain")
 
 # Known sentences by identifier, as public license texts have them; {v} stands for each listed version.
 _VERSIONED = {

@@ -91,6 +91,12 @@ def test_both_cuts_of_a_text_count(spark):
     assert got[0]["licenses"] == "BSD-2-Clause,CC-BY-NC-4.0"
 
 
+def test_a_broken_trigger_is_seen(spark):
+    texts = ["This is free and unencumbered software released into the public\ndomain.\n", "This work is released into the public  domain under CC0 1.0."]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in got] == ["Unlicense", "CC0-1.0"]
+
+
 # 2 quality
 
 
