@@ -13,8 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut, ship
 
-#: Rows that Python holds as objects at a time, whatever the size of an Arrow batch.
-SLICE_ROWS = 1024
+#: Rows that Python holds as objects at a time, whatever the size of an Arrow batch, and bytes of texts.
+SLICE_ROWS, SLICE_BYTES = 1024, 1 << 25
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,17 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose strings of a column have `most` bytes, or that are one row."""
+    texts = batch.column(column)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, int(ends[start]) + most, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow over slices: make() runs once a task; what it returns turns {column: list} into {column: list or array}."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -59,6 +70,43 @@ def spanning_roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
+#: Keys that `spread_join` broadcasts, at most.
+HOT_KEYS = 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, a table with one row a key and `rows`, the key's rows in left.
+
+    Keys with more than 1 / HOT_KEYS of all rows can be HOT_KEYS at most: their side is broadcast and their rows stay where
+    they are. The others meet by a shuffle in which no key is large."""
+    total = right.agg(F.sum("rows")).first()[0] or 0
+    crowded = F.col("rows") * HOT_KEYS > total
+    hot = F.broadcast(right.where(crowded))
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(~crowded), on, how)
+    met = left.join(hot, on)
+    return met.unionByName(rest)
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The rows of each key, of batches that come sorted by their first n_keys columns (whole numbers, not null)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(k).to_numpy() for k in range(n_keys)])
+        starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)])).tolist()
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            key = tuple(keys[a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(src, dst) -> (node, component), component the smallest node reachable; only nodes with an edge appear.
 

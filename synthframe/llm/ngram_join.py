@@ -3,9 +3,13 @@
 The global order of n-grams is that of their hashes; it is cut into fragments, so each document's n-gram set falls into
 segments. Sets that link differ in at most D n-grams, D following from their size; cut into more than D fragments they
 have a segment in common, so equal segments find all candidates (see `segment_plan` for short segments). Documents with
-a segment in common gather in the group of that segment's smallest document. A group's pairs are counted in square
-blocks: each fragment of the order gives a matrix of partial overlaps of its own, and the matrices are summed per pair.
-Pairs never become rows; a block returns a spanning forest of its links, and star rounds join the forests.
+a segment in common gather in the group of that segment's smallest document, its pivot.
+
+Overlaps are counted fragment by fragment: a task holds one global fragment of a pivot's set and counts what each member
+has of it, and the partial overlaps are summed per pair. A group takes two such rounds, one row a member each: against its
+pivot, and against the member nearest to it. What links to them is one component. Jaccard distance is a metric, so members
+with too different distances to the two can't link; only members that neither round has placed meet those within reach,
+in blocks of bounded size. Pairs never become rows; blocks return a spanning forest of their links, and star rounds join all.
 
 Work that follows the data: a segment's signature stands for several n-grams, so about a sixth of the n-grams' number is
 dealt out at 0.9, frequent passages don't make groups, and whole sets travel only for documents with a segment in
@@ -18,22 +22,27 @@ import math
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import connected_components, map_columns, read, spanning_roots, texts_of
+from .common import connected_components, map_columns, read, sorted_runs, spanning_roots, spread_join, texts_of
 
 #: Words whose hashes a worker keeps.
 WORDS = 400_000
-#: Rows of ids up to which a side is broadcast (8 bytes each); above that the join shuffles.
-BROADCAST_ROWS = 500_000
-#: Documents in a block of a group: 1/16 of it within these bounds; and n-grams in a block, about.
-BLOCK_DOCS, BLOCK_GRAMS = (128, 4096), 2_000_000
-#: n-grams of a fragment that are turned into a matrix at a time.
-FRAGMENT = 4096
+#: Global fragments of the order that partial overlaps are counted by.
+FRAGMENTS = 4
+#: Members that a task compares with a pivot's fragment; unplaced members, members and n-grams in a block.
+CHUNK, OPEN, BLOCK_GRAMS = 1024, 1024, 2_000_000
+#: n-grams that are turned into a matrix at a time.
+COLUMNS = 4096
+#: Bits of the filter that says which documents' sets are built (8 MB when broadcast). Beyond some ten million such
+#: documents more sets are built than needed; the join after it is exact.
+FILTER_BITS = 1 << 26
+#: Nodes of classes whose smallest doc_id has several texts.
+_EXTRA = 1 << 62
 
 
 class _WordHash(dict):
@@ -127,57 +136,121 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _keys(n: int):
-    """For map_columns: n-gram count and class key of each document."""
-
-    def make():
-        def fn(cols: dict) -> dict:
-            sets = [gram_set(t, n) for t in cols["text"]]
-            return {"doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "key": [_key(s) for s in sets]}
-
-        return fn
-
-    return make
-
-
 def _key(grams: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
 
-def _segments(n: int, percent: int):
-    """For map_columns: the same key, and segment signatures."""
+def _signed(n: int, percent: int):
+    """For map_columns: n-gram count, class key and segment signatures of each document."""
 
     def make():
         def fn(cols: dict) -> dict:
             sets = [gram_set(t, n) for t in cols["text"]]
-            return {"d": cols["doc_id"], "key": [_key(s) for s in sets], "n": [len(s) for s in sets], "segments": [signatures(s, percent).view(np.int64) for s in sets]}
+            return {
+                "doc_id": cols["doc_id"],
+                "n_shingles": [len(s) for s in sets],
+                "key": [_key(s) for s in sets],
+                "segments": [signatures(s, percent).view(np.int64) for s in sets],
+            }
 
         return fn
 
     return make
 
 
-def _gram_sets(n: int):
-    def make():
-        def fn(cols: dict) -> dict:
-            return {"d": cols["doc_id"], "grams": [gram_set(t, n).tobytes() for t in cols["text"]]}
+def _filter_bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return hashes % FILTER_BITS, (hashes >> 32) % FILTER_BITS
 
-        return fn
 
-    return make
+def _gram_sets(n: int, words):
+    """For mapInArrow: key and n-gram set, by global fragment, of the documents that pass the filter."""
+    edges = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
+
+    def run(batches):
+        bits = words.value
+        for batch in batches:
+            a, b = _filter_bits(batch.column(2).to_numpy())
+            hit = (bits[a >> 6] >> (a & 63) & 1) & (bits[b >> 6] >> (b & 63) & 1)
+            part = batch.filter(pa.array(hit == 1))
+            for first in range(0, part.num_rows, 1024):
+                rows = part.slice(first, 1024)
+                sets = [gram_set(t, n) for t in rows.column(1).to_pylist()]
+                cuts = [np.split(s, np.searchsorted(s, edges)) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array([_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([[p.tobytes() for p in c] for c in cuts], pa.list_(pa.binary()))],
+                    names=["doc_id", "key", "n", "parts"],
+                )
+
+    return run
+
+
+def member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """(d, n, parts) of the members (rep, key, d): the n-gram set of each, by global fragment."""
+    h, spark = F.xxhash64("rep"), docs.sparkSession
+    bit = F.explode(F.array(F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS))))
+    found = members.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    wanted = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    sets = wanted.mapInArrow(_gram_sets(n, spark.sparkContext.broadcast(words)), "doc_id long, key binary, n long, parts array<binary>")
+    sets = sets.groupBy("doc_id", "key").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))  # repeated rows
+    return sets.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"]).select("d", "n", "parts")
+
+
+def _partial_overlaps(batches):
+    """For mapInArrow over rows by (p, f, chunk), the pivot first: what each member has of the pivot's fragment."""
+    at, mine, size = None, None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        p, f, chunk, member, d, n = (batch.column(k).to_numpy() for k in range(6))
+        grams = batch.column(6)
+        ends = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1] // 8
+        data = np.frombuffer(grams.buffers()[2] or b"", np.uint64, count=ends[-1]) if ends[-1] else np.empty(0, np.uint64)
+        new = np.flatnonzero((p[1:] != p[:-1]) | (f[1:] != f[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+        starts = np.concatenate(([0], new))
+        common, pn = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        for a, b in zip(starts.tolist(), [*new.tolist(), len(p)], strict=True):
+            key = (p[a], f[a], chunk[a])
+            if key != at:
+                at, mine, size = key, None, 0
+            if not member[a]:
+                mine, size = data[ends[a] : ends[a + 1]].copy(), n[a]
+                a += 1
+            pn[a:b] = size
+            if mine is None or not len(mine) or a == b:
+                continue
+            theirs = data[ends[a] : ends[b]]
+            where = np.searchsorted(mine, theirs)
+            where[where == len(mine)] = 0
+            total = np.concatenate(([0], np.cumsum(mine[where] == theirs)))
+            common[a:b] = total[ends[a + 1 : b + 1] - ends[a]] - total[ends[a:b] - ends[a]]
+        keep = (member == 1) & ((common > 0) | (f == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (p, pn, d, n, common)], names=["p", "pn", "d", "n", "common"])
+
+
+def measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (p, d, chunk) -> p, d, n (the size of d), linked, far (Jaccard distance), band (distance in units of that up
+    to which sets link): partial overlaps of each global fragment, summed per pair."""
+    both = pairs.select("p", "chunk", F.lit(1).alias("member"), "d").union(pairs.select("p", "chunk").distinct().select("p", "chunk", F.lit(0), "p"))
+    rows = both.join(sets, "d").select("p", "chunk", "member", "d", "n", F.posexplode("parts").alias("f", "grams")).where("f = 0 or length(grams) > 0")
+    dealt = rows.select("p", "f", "chunk", "member", "d", "n", "grams").repartition("p", "f", "chunk").sortWithinPartitions("p", "f", "chunk", "member")
+    counted = dealt.mapInArrow(_partial_overlaps, "p long, pn long, d long, n long, common long").groupBy("p", "d")
+    summed = counted.agg(F.max("pn").alias("pn"), F.max("n").alias("n"), F.sum("common").alias("common")).withColumn("all", F.expr("pn + n - common"))
+    return summed.select("p", "d", "n", F.expr(f"100 * common >= {percent} * all").alias("linked"), F.expr("(all - common) / all").alias("far"), F.expr(f"cast(100 * (all - common) div ({100 - percent} * all) as int)").alias("band"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Overlap sizes of all pairs: partial counts of each fragment of the n-gram order, summed per pair."""
+    """Overlap sizes of all pairs, of one fragment's segments."""
     sets = [*left, *right]
     size = np.array([len(s) for s in sets])
     total = np.zeros((len(left), len(right)), np.float32)
-    for fragment in _fragments(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets)):
-        total += fragment[: len(left)] @ fragment[len(left) :].T
+    for part in _incidence(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets)):
+        total += part[: len(left)] @ part[len(left) :].T
     return total.astype(np.int64)
 
 
-def _fragments(grams: np.ndarray, owner: np.ndarray, n_sets: int):
+def _incidence(grams: np.ndarray, owner: np.ndarray, n_sets: int):
     """Incidence matrices, set by n-gram, of consecutive runs of the order; n-grams of a single set drop out."""
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
@@ -188,80 +261,104 @@ def _fragments(grams: np.ndarray, owner: np.ndarray, n_sets: int):
     if not len(column):
         return
     column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
-    for first in range(0, column[-1] + 1, FRAGMENT):
-        a, b = np.searchsorted(column, (first, first + FRAGMENT))
+    for first in range(0, column[-1] + 1, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
         out = np.zeros((n_sets, column[b - 1] - first + 1), np.float32)
         out[owner[a:b], column[a:b] - first] = 1
         yield out
 
 
 def _block_links(percent: int):
-    """For applyInPandas: one block of a group -> a spanning forest of its links."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("d")
-        one = key[1] == key[2]
-        parts = [rows, rows] if one else [rows[rows["b"] == key[1]], rows[rows["b"] == key[2]]]
-        sets = [[np.frombuffer(g, np.uint64) for g in p["grams"]] for p in parts]
-        if not sets[0] or not sets[1]:
-            return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
-        common = overlaps(*sets)
-        size = [np.array([len(s) for s in x]) for x in sets]
-        linked = 100 * common >= percent * (size[0][:, None] + size[1][None, :] - common)
-        ids = parts[0]["d"].to_numpy() if one else np.concatenate([p["d"].to_numpy() for p in parts])
-        if not one:
-            square = np.zeros((len(ids), len(ids)), bool)
-            square[: len(sets[0]), len(sets[0]) :] = linked
-            linked = square | square.T
-        root = spanning_roots(linked)
-        far = root != np.arange(len(root))
-        return pd.DataFrame({"src": ids[root[far]], "dst": ids[far]})
+    """For mapInArrow over rows by block: members not yet placed against members -> a spanning forest of their links."""
+
+    def run(batches):
+        for rows in sorted_runs(batches, 5):
+            member, d, n, parts = (rows.column(k) for k in ("member", "d", "n", "parts"))
+            member, d, n = member.to_numpy(), d.to_numpy(), n.to_numpy()
+            few, many = np.flatnonzero(member == 0), np.flatnonzero(member == 1)
+            if not len(few) or not len(many):
+                continue
+            sets = parts.to_pylist()
+            common = sum(overlaps([np.frombuffer(sets[k][f], np.uint64) for k in few], [np.frombuffer(sets[k][f], np.uint64) for k in many]) for f in range(FRAGMENTS))
+            linked = 100 * common >= percent * (n[few][:, None] + n[many][None, :] - common)
+            near, place = np.unique(np.concatenate((d[few], d[many])), return_inverse=True)
+            square = np.zeros((len(near), len(near)), bool)
+            r, c = np.nonzero(linked)
+            square[place[r], place[len(few) + c]] = True
+            square |= square.T
+            root = spanning_roots(square)
+            apart = root != np.arange(len(root))
+            if apart.any():
+                yield pa.RecordBatch.from_arrays([pa.array(near[root[apart]]), pa.array(near[apart])], names=["src", "dst"])
 
     return run
 
 
+def _links(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) that span every component of links between documents of a group; star: (p, d, chunk)."""
+    first = cut(measure(star, sets, percent), "first")
+    near = F.min(F.struct("far", "d", "linked"))
+    groups = first.groupBy("p").agg(F.count("*").alias("rows"), F.sum((~F.col("linked")).cast("long")).alias("open"), near.alias("near"))
+    groups = cut(groups.where("open > 0 and rows > 1").select("p", "rows", F.col("near.d").alias("b"), F.col("near.linked").alias("joined")), "groups")
+    members = cut(spread_join(first, groups, ["p"]).where("d <> b"), "group_members")
+    chunk = F.expr(f"pmod(xxhash64(d), 1 + rows div {CHUNK})")
+    second = cut(measure(members.select(F.col("b").alias("p"), "d", chunk.alias("chunk")).groupBy("p", "d").agg(F.min("chunk").alias("chunk")), sets, percent), "second")
+    both = members.join(second.select(F.col("p").alias("b"), "d", F.col("linked").alias("also"), F.col("band").alias("band2")), ["b", "d"])
+    placed = cut(both.select("p", "d", "n", "band", "band2", F.expr("not (also or (joined and linked))").alias("open")), "placed")
+    # sets link only if their bands differ by one at most, so such pairs share one of the cells that each row enters
+    reach = F.explode(F.array(*[F.struct((F.col("band") - i).alias("i"), (F.col("band2") - j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    entered = placed.select("p", "d", "n", "open", reach.alias("at")).select("p", "at.i", "at.j", "d", "n", "open")
+    cells = entered.groupBy("p", "i", "j").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"), F.sum(F.expr("cast(open as long)")).alias("few"), F.sum(F.expr("if(open, n, 0)")).alias("few_grams"))
+    size = "cast(greatest(ceil({} / {}), ceil({} / {})) as int)"
+    cells = cut(
+        cells.where("few > 0 and rows > 1").select("p", "i", "j", "rows", F.expr(size.format("few", OPEN, "few_grams", BLOCK_GRAMS)).alias("q"), F.expr(size.format("rows", CHUNK, "grams", BLOCK_GRAMS)).alias("c")),
+        "cells",
+    )
+    met = spread_join(entered, cells, ["p", "i", "j"])
+    block = ["p", "i", "j", "at_q", "at_c"]
+    few = met.where("open").select("p", "i", "j", F.expr("pmod(xxhash64(d), q)").alias("at_q"), F.explode(F.expr("sequence(0, c - 1)")).alias("at_c"), F.lit(0).alias("member"), "d")
+    many = met.select("p", "i", "j", F.explode(F.expr("sequence(0, q - 1)")).alias("at_q"), F.expr("pmod(xxhash64(d, 1), c)").alias("at_c"), F.lit(1).alias("member"), "d")
+    blocks = few.select(*[F.col(k).cast("long") for k in block], "member", "d").union(many.select(*[F.col(k).cast("long") for k in block], "member", "d"))
+    dealt = blocks.join(sets, "d").select(*block, "member", "d", "n", "parts").repartition(*block).sortWithinPartitions(*block)
+    rest = dealt.mapInArrow(_block_links(percent), "src long, dst long")
+    linked = [t.where("linked").select(F.col("p").alias("src"), F.col("d").alias("dst")) for t in (first, second)]
+    return linked[0].union(linked[1]).union(rest)
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links).
 
     Two documents link when 100 * |A & B| >= percent * |A | B| over their distinct word n-grams (A-Z lower-cased, words
     split at ASCII white space). Null or wordless texts have no n-grams and link with nothing. Rows with the same doc_id
-    are one node. A null doc_id stays a row of its own: its component is that of its copies with an id, or null.
-    Other columns of docs are not read; an empty table gives an empty result."""
+    are one node, whatever their texts: each text links for it. A null doc_id stays a row of its own: its component is
+    that of its copies with an id, or null. Other columns of docs are not read; an empty table gives an empty result."""
     docs = texts_of(docs)
-    signed = cut(map_columns(docs, _keys(n), "doc_id long, n_shingles long, key binary"), "signed")
-    # written out, so that joins with it deal both sides out anew and a crowded key's rows can be split over tasks
-    classes = cut(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    copies = cut(signed.join(classes, "key").where("doc_id <> rep").select(F.col("doc_id").alias("d"), "key").distinct(), "copies")
-    few = copies.count() <= BROADCAST_ROWS
-    # signatures are made twice rather than kept: they are larger than all else that is dealt out
-    segments = map_columns(docs, _segments(n, percent), "d long, key binary, n long, segments array<long>").where("d is not null and key is not null")
-    segments = segments.join(F.broadcast(copies) if few else copies, ["d", "key"], "left_anti")
-    postings = segments.select("d", F.col("n").alias("n_shingles"), F.explode("segments").alias("segment"))
-    pivots = cut(postings.groupBy("segment").agg(F.min("d").alias("p"), F.max("d").alias("last")).where("p <> last").select("segment", "p"), "pivots")
-    star = cut(postings.join(pivots, "segment").groupBy("p", "d").agg(F.min("n_shingles").alias("n")), "star")
-    groups = star.groupBy("p").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).where("docs > 1")
-    low, high = BLOCK_DOCS
-    groups = groups.select("p", F.expr(f"cast(greatest(ceil(docs / greatest({low}, least({high}, docs div 16))), ceil(grams / {BLOCK_GRAMS})) as int)").alias("blocks"))
-    cells = (
-        star.join(groups, "p")
-        .withColumn("b", F.expr("cast(pmod(xxhash64(d), blocks) as int)"))
-        .withColumn("o", F.expr("explode(sequence(0, blocks - 1))"))
-        .select("p", "d", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    )
-    members = cut(star.join(groups.select("p"), "p").select("d").distinct(), "members")
-    wanted = members.withColumnRenamed("d", "doc_id")
-    if members.count() <= BROADCAST_ROWS:
-        sets = map_columns(docs.join(F.broadcast(wanted), "doc_id", "left_semi"), _gram_sets(n), "d long, grams binary")
-    else:
-        sets = map_columns(docs, _gram_sets(n), "d long, grams binary").join(members, "d", "left_semi")
-    links = cells.join(sets, "d").groupBy("p", "i", "j").applyInPandas(_block_links(percent), "src long, dst long")
-    components = connected_components(links)
-    return (
-        signed.select("doc_id", "n_shingles", "key")
-        .join(classes, "key", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    )
+    signed = cut(map_columns(docs, _signed(n, percent), "doc_id long, n_shingles long, key binary, segments array<long>"), "signed")
+    code = F.xxhash64("key")
+    many = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(code).alias("a"), F.max(code).alias("b"))  # a null key has a code of its own
+    mixed = cut(many.where("a <> b").select("doc_id", "rows"), "mixed")
+    classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("segments").alias("segments"))
+    node = F.when(F.col("several"), F.monotonically_increasing_id() + F.lit(_EXTRA)).otherwise(F.col("rep"))
+    classes = classes.join(mixed.select(F.col("doc_id").alias("rep"), F.lit(True).alias("several")), "rep", "left")
+    classes = cut(classes.select("key", "rep", "rows", node.alias("d"), "segments"), "classes")
+    postings = classes.where("d is not null").select("d", F.explode("segments").alias("segment"))
+    pivots = postings.groupBy("segment").agg(F.min("d").alias("p"), F.max("d").alias("last"), F.count("*").alias("rows")).where("p <> last")
+    pivots = cut(pivots.select("segment", "p", "rows"), "pivots")
+    star = spread_join(postings, pivots, ["segment"]).where("d <> p").select("p", "d", F.expr(f"pmod(xxhash64(d), 1 + rows div {CHUNK})").alias("chunk"))
+    star = cut(star.groupBy("p", "d").agg(F.min("chunk").alias("chunk")), "star")
+    wanted = star.select("d").union(star.select("p")).distinct()
+    members = cut(classes.select("rep", "key", "d").join(wanted, "d"), "members")
+    sets = cut(member_sets(docs, members, n), "sets")
+    named = signed.where("key is not null").select("doc_id", "key").join(mixed.select("doc_id"), "doc_id").distinct()
+    edges = named.join(classes.select("key", "d"), "key").select(F.col("doc_id").alias("src"), F.col("d").alias("dst"))
+    components = cut(connected_components(_links(star, sets, percent).union(edges)), "components")
+    lowest = components.withColumnRenamed("node", "d")
+    found = cut(classes.select("key", "rows", "d").join(lowest, "d", "left").select("key", "rows", F.coalesce("component", "d").alias("component_id")), "found")
+    worded = spread_join(signed.where("key is not null").select("doc_id", "n_shingles", "key"), found, ["key"])
+    wordless = signed.where("key is null").select("doc_id", "n_shingles")
+    own = mixed.join(components.withColumnRenamed("node", "doc_id"), "doc_id")
+    wordless = spread_join(wordless, own, ["doc_id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return worded.select("doc_id", "n_shingles", "component_id").union(wordless)
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
