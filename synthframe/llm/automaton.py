@@ -19,7 +19,8 @@ _CLASS_ESCAPES = {"t": 9, "n": 10, "r": 13}
 class _Parser:
     """Recursive descent into a nondeterministic automaton: fragments are (first state, last state)."""
 
-    def __init__(self):
+    def __init__(self, backward: bool = False):
+        self.backward = backward
         self.empty: list[list[int]] = []
         self.moves: list[list[tuple[frozenset[int], int]]] = []
 
@@ -142,7 +143,7 @@ class _Parser:
                 self.empty[b].append(last)
             return first, last
         at = first
-        for part in node[1]:
+        for part in reversed(node[1]) if self.backward else node[1]:
             a, b = self._build(part)
             self.empty[at].append(a)
             at = b
@@ -197,17 +198,16 @@ class Automaton:
         keep = ends <= len(data)
         return ends[keep], bits[keep]
 
-    def longest(self, data: bytes, start: int) -> tuple[int, int]:
-        """For an anchored automaton: (first, last) end of a match that begins at start; (-1, -1) if none does."""
-        state, first, last, step, least, sink = 0, -1, -1, self.next, self.first_accepting * 256, self.sink
-        for at in range(start, len(data)):
+    def first_start(self, data: bytes, end: int) -> int:
+        """For an anchored automaton of reversed rules: the first byte from which a match reaches to end, or -1."""
+        state, found, step, least, sink = 0, -1, self.next, self.first_accepting * 256, self.sink
+        for at in range(end - 1, -1, -1):
             state = int(step[state + data[at]])
             if state >= least:
-                last = at + 1
-                first = last if first < 0 else first
+                found = at
             elif state == sink:
                 break
-        return first, last
+        return found
 
     @cached_property
     def sink(self) -> int:
@@ -217,9 +217,9 @@ class Automaton:
         return int(own[0]) * 256 if len(own) else -1
 
 
-def compile_rules(rules: Iterable[tuple[str, bool]], anchored: bool = False) -> Automaton:
-    """rules: (pattern, letters in either case). Unanchored, a match may begin at every byte."""
-    nfa = _Parser()
+def compile_rules(rules: Iterable[tuple[str, bool]], anchored: bool = False, backward: bool = False) -> Automaton:
+    """rules: (pattern, letters in either case). Unanchored, a match may begin at every byte. Backward, it reads from the end."""
+    nfa = _Parser(backward)
     start = nfa.state()
     accept: dict[int, int] = {}
     for k, (pattern, any_case) in enumerate(rules):
