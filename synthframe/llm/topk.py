@@ -1,13 +1,17 @@
 """Exact top-k search by a three-phase uniform threshold.
 
-A vector's dimensions are cut into lists, and an item's score is the sum of its entries in them. Phase one takes each
-query's k best entries of every list, in each partition, and resolves those items; the k-th best score gathered over all
-partitions is a safe cutoff. Phase two sends the cutoffs back: a score of at least t needs an entry of at least t / lists
-in some list, so only items with one are collected. Phase three resolves those exactly and keeps what reaches the
-cutoff. Queries travel in waves of a fixed size, so the broadcast is bounded however many there are."""
+Vectors lie in cells of a coarse clustering, in order, so a block of neighbouring rows is compact and the range of each of
+its dimensions bounds what any of its items can score. A vector's dimensions are cut into lists, and an item's score is the
+sum of its entries in them. Phase one gathers, per query, the local k best scores of the few cells nearest to it; the k-th
+best of those is a safe cutoff. Phase two sends the cutoffs back: blocks whose lists' bounds add up to less are skipped,
+and of the others only items are collected that have an entry of at least cutoff / lists in some list. Phase three
+resolves those exactly, from the entries at hand. A task keeps the k best a query; tasks' lists meet in a tree. Queries
+travel in waves of a fixed size, and each wave's result is written out, so broadcasts are bounded however many there are."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,21 +19,38 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import read
+from .vector_dedup import spherical_kmeans
 from .vectors import matrices, vectors_of
 
-#: Lists that dimensions are cut into, queries of a wave (8 MB of 64-dimensional vectors as 16-bit, 32 MB at most as doubles), queries handled side by side.
-LISTS, WAVE, SIDE = 4, 1 << 16, 256
-#: Rows that a task holds at a time.
-BLOCK = 4096
+#: Lists that dimensions are cut into, queries of a wave (32 MB of 64 dimensions), queries handled side by side.
+LISTS, WAVE, SIDE = 4, 1 << 16, 1024
+#: Rows of a block at most; vectors that cells are trained on, about, at most; rows a cell, about; cells at most.
+BLOCK, SAMPLE, CELL, CELLS = 1024, 16_384, 2048, 256
+#: Results that a task holds before it cuts them back to the k best a query; branches that tasks' lists meet in first.
+HELD, BRANCHES = 1 << 20, 64
+
+
+@dataclass
+class Wave:
+    """The queries of one length: ids in order, integer vectors, the cells that phase one looks at, and the cutoffs."""
+
+    ids: np.ndarray
+    q: np.ndarray
+    near: np.ndarray
+    least: np.ndarray
 
 
 def _blocks(batches):
-    """(ids, integer matrix) of a partition's rows, by vector length, BLOCK rows at most."""
+    """(cell, ids, integer matrix) of rows that come sorted by cell."""
     for batch in batches:
-        ids = batch.column(0).to_numpy()
+        cells, ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
         for rows, x in matrices(batch, 1):
-            for a in range(0, len(rows), BLOCK):
-                yield ids[rows[a : a + BLOCK]], np.floor(64 * x[a : a + BLOCK])
+            own = cells[rows]
+            starts = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]))
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                for k in range(a, b, BLOCK):
+                    part = slice(k, min(k + BLOCK, b))
+                    yield int(own[a]), ids[rows[part]], np.floor(64 * x[part])
 
 
 def _cuts(n: int) -> list[slice]:
@@ -37,89 +58,178 @@ def _cuts(n: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer products: through doubles where these are exact, else as 64-bit integers."""
-    if not q.size or not x.size or np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2**53:
-        return q @ x.T
-    return q.astype(np.int64) @ x.astype(np.int64).T
+def entries(q: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+    """Products list by list: through doubles where these are exact, else as 64-bit integers, else as whole numbers."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    if most >= 2**53:
+        whole = np.int64 if most < 2**62 else object
+        q, x = (m.astype(np.int64) if whole is np.int64 else np.array([[int(v) for v in r] for r in m.tolist()], object).reshape(m.shape) for m in (q, x))
+    return [q[:, c] @ x[:, c].T for c in _cuts(q.shape[1])]
+
+
+def scores(parts: list[np.ndarray]) -> np.ndarray:
+    """Sums of the entries; what a 64-bit integer doesn't hold is its largest or smallest."""
+    total = sum(parts)
+    return np.clip(total, -(2**63) + 1, 2**63 - 1) if total.dtype == object else total
+
+
+def bounds(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What no item of the block exceeds, for each query: the lists' bounds from the ranges of the dimensions, summed."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        most = np.maximum(q, 0) @ x.max(0) + np.minimum(q, 0) @ x.min(0)
+    room = np.abs(most) * 1e-9 + 1  # for rounding
+    return np.where(np.isfinite(most), most + room, np.inf)
+
+
+class Best:
+    """The k best results of each query that a task has seen: score descending, then vec_id."""
 
+    def __init__(self, k: int):
+        self.k, self.parts, self.held = k, [], 0
 
-def _best(keep: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """The k highest of kept and new scores of each row, without order."""
-    both = np.concatenate((keep, score), 1)
-    return np.partition(both, both.shape[1] - k, 1)[:, -k:] if both.shape[1] > k else both
+    def add(self, query: np.ndarray, item: np.ndarray, score: np.ndarray) -> bool:
+        """True if the results have been cut back."""
+        self.parts.append((query, item, score.astype(np.int64)))
+        self.held += len(query)
+        if self.held < HELD:
+            return False
+        self.result()
+        return True
 
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return (np.empty(0, np.int64),) * 3
+        query, item, score = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((item, -score, query))
+        query, item, score = query[order], item[order], score[order]
+        first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+        keep = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < self.k
+        self.parts = [(query[keep], item[keep], score[keep])]
+        # a query with many equal results keeps k, so what is held is bounded by queries, not by rows
+        self.held = 0
+        return self.parts[0]
 
-def _gather(queries, k: int):
-    """Phase one, for mapInArrow: per query the k best scores among items that lead some list here, ascending."""
+
+def scan(blocks, waves: dict[int, Wave], k: int, near: bool, skipped: list | None = None):
+    """The local k best of each query of each length: (query ids, item ids, scores).
+
+    near: phase one, only blocks of a query's near cells, without cutoff. Else phases two and three: blocks whose bound
+    reaches the cutoff, and of those the items with an entry of cutoff / lists."""
+    best = {n: Best(k) for n in waves}
+    least = {n: w.least.copy() for n, w in waves.items()}
+    for cell, ids, x in blocks:
+        n = x.shape[1]
+        if n not in waves:
+            continue
+        wave = waves[n]
+        use = wave.near[:, cell] if near else bounds(wave.q, x) >= least[n]
+        which = np.flatnonzero(use)
+        if skipped is not None:
+            skipped.append(len(use) - len(which))
+        for a in range(0, len(which), SIDE):
+            at = which[a : a + SIDE]
+            t = np.full(len(at), -np.inf) if near else least[n][at]
+            parts = entries(wave.q[at], x)
+            score = scores(parts)
+            enough = score >= t[:, None]
+            if not near:
+                entry = np.zeros(enough.shape, bool)
+                for p in parts:
+                    entry |= p >= (t / len(parts))[:, None] - 1e-9 * np.abs(t)[:, None]
+                enough &= entry
+            enough &= wave.ids[at][:, None] != ids[None, :]
+            if enough.shape[1] > k:  # ties to the smaller id: only what can be among the block's k best
+                held = np.where(enough, score, -(2**63) + 1 if score.dtype == object else -np.inf) if score.dtype != np.int64 else np.where(enough, score, -(2**63) + 1)
+                enough &= score >= np.partition(held, held.shape[1] - k, 1)[:, held.shape[1] - k][:, None]
+            r, i = np.nonzero(enough)
+            if len(r) and best[n].add(at[r], ids[i], score[r, i]) and not near:
+                query, _, kept = best[n].result()
+                full = np.flatnonzero(np.bincount(query, minlength=len(wave.ids)) == k)
+                last = np.searchsorted(query, full, "right") - 1
+                least[n][full] = np.maximum(least[n][full], kept[last])
+    for n, wave in waves.items():
+        query, item, score = best[n].result()
+        yield wave.ids[query], item, score
+
+
+def _scan(waves, k: int, near: bool):
+    """For mapInArrow."""
 
     def run(batches):
-        wave = queries.value
-        best = {n: np.full((len(ids), k), -np.inf) for n, (ids, _) in wave.items()}
-        for ids, x in _blocks(batches):
-            n = x.shape[1]
-            if n not in wave:
-                continue
-            q_ids, q = wave[n]
-            for a in range(0, len(q), SIDE):
-                part = q[a : a + SIDE]
-                entries = [_dot(part[:, c], x[:, c]) for c in _cuts(n)]
-                score = sum(entries)
-                score = np.where(q_ids[a : a + SIDE, None] == ids, -np.inf, score)
-                if len(ids) > k * len(entries):
-                    lead = np.concatenate([np.argpartition(e, -k, 1)[:, -k:] for e in entries], 1)
-                    lead.sort(1)
-                    again = np.concatenate((np.zeros((len(lead), 1), bool), lead[:, 1:] == lead[:, :-1]), 1)
-                    score = np.where(again, -np.inf, np.take_along_axis(score, lead, 1))
-                best[n][a : a + SIDE] = _best(best[n][a : a + SIDE], score, k)
-        for n, (q_ids, _) in wave.items():
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(list(np.sort(best[n], 1)), pa.list_(pa.float64()))], names=["query_id", "scores"])
+        for query, item, score in scan(_blocks(batches), waves.value, k, near):
+            if len(query):
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(item), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def _collect(queries, cutoffs):
-    """Phases two and three, for mapInArrow: the items whose exact score reaches the query's cutoff."""
+def _k_best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank, through a tree of two levels."""
+    order = [F.desc("score"), "vec_id"]
+    some = Window.partitionBy("query_id", "branch").orderBy(*order)
+    found = found.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(BRANCHES))).withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= k)
+    return found.drop("branch").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+
+
+def _centres(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Cells' unit centroids by vector length, from a bounded sample; they change only speed."""
+    n = rows.count()
+    share = int((1 << 20) * min(1.0, SAMPLE / max(n, 1)))
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 20)) < share).select("vec_id", "v").toPandas().sort_values("vec_id")
+    found = {}
+    for dim, group in sample.groupby(sample["v"].map(len)):
+        x = np.array(group["v"].tolist(), np.float64)
+        size = np.linalg.norm(x, axis=1)
+        x = x[(size > 0) & np.isfinite(size)] / size[(size > 0) & np.isfinite(size)][:, None]
+        if len(x):
+            found[dim] = spherical_kmeans(x, max(1, min(CELLS, len(x) // 4, n // CELL)))
+    return found
+
+
+def _near(q: np.ndarray, centre: np.ndarray | None, cells: np.ndarray, k: int) -> np.ndarray:
+    """Which cells phase one looks at for each query: the nearest ones until they hold more than k rows."""
+    if centre is None:
+        return np.ones((len(q), len(cells)), bool)
+    order = np.argsort(-(q @ centre.T), 1, kind="stable")
+    rows = np.cumsum(cells[order], 1)
+    near = np.zeros((len(q), len(cells)), bool)
+    np.put_along_axis(near, order, rows - cells[order] <= k, 1)
+    return near
+
+
+def _assign(centres):
+    """For mapInArrow: vec_id, v and the cell of each row."""
 
     def run(batches):
-        wave, least = queries.value, cutoffs.value
-        for ids, x in _blocks(batches):
-            n = x.shape[1]
-            if n not in wave:
-                continue
-            q_ids, q = wave[n]
-            for a in range(0, len(q), SIDE):
-                part, part_ids = q[a : a + SIDE], q_ids[a : a + SIDE]
-                t = np.array([least.get(i, -np.inf) for i in part_ids.tolist()])
-                cuts = _cuts(n)
-                enough = np.zeros((len(part), len(x)), bool)
-                for c in cuts:
-                    enough |= _dot(part[:, c], x[:, c]) >= (t / len(cuts))[:, None]
-                row, item = np.nonzero(enough & (part_ids[:, None] != ids))
-                for b in range(0, len(row), 1 << 16):
-                    r, i = row[b : b + (1 << 16)], item[b : b + (1 << 16)]
-                    left, right = part[r], x[i]
-                    if np.abs(part).max() * np.abs(x).max() * n >= 2**53:
-                        left, right = left.astype(np.int64), right.astype(np.int64)
-                    score = np.einsum("ij,ij->i", left, right)
-                    ok = score >= t[r]
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(part_ids[r[ok]]), pa.array(ids[i[ok]]), pa.array(score[ok].astype(np.int64))], names=["query_id", "vec_id", "score"])
+        for batch in batches:
+            cell = np.zeros(batch.num_rows, np.int32)
+            for rows, x in matrices(batch, 1):
+                if (centre := centres.value.get(x.shape[1])) is not None:
+                    scale = np.abs(x).max(1)
+                    cell[rows] = (x / np.where(scale > 0, scale, 1)[:, None] @ centre.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell)], names=["vec_id", "v", "cell"])
 
     return run
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products of floor(64 * x), all if there
-    are fewer, ties to the smaller vec_id; a query's own row doesn't count.
+    are fewer, ties to the smaller vec_id. Rows with a query's vec_id are its own and don't count.
 
-    Null vectors, and such with null or non-finite components, take no part, neither do null ids; vectors of another
-    length than the query's don't meet it. Rows that repeat a vec_id are candidates of their own; queries count once.
-    Inputs need vec_id and embedding (arrays of numbers); other columns are not read."""
+    Null vectors, and such with null or non-finite components, take no part, neither do null ids nor components whose 64-fold
+    a double doesn't hold; scores beyond 64 bits are the largest or smallest 64-bit number. Vectors of another length than
+    the query's don't meet it. Rows that repeat a vec_id are candidates of their own; a query with several vectors is the
+    smallest of them. Inputs need vec_id and embedding (arrays of numbers); other columns are not read."""
     spark = vectors.sparkSession
     sc = spark.sparkContext
-    rows = cut(vectors_of(vectors).where("vec_id is not null"), "vectors")
-    asked = vectors_of(queries).where("vec_id is not null").dropDuplicates(["vec_id"])
+    held = "vec_id is not null and forall(v, x -> abs(x) < 2.8e306D)"
+    usable = cut(vectors_of(vectors).where(held), "vectors")
+    centres = _centres(usable)
+    told = sc.broadcast(centres)
+    placed = usable.mapInArrow(_assign(told), "vec_id long, v array<double>, cell int")
+    rows = cut(placed.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id"), "cells")
+    sizes = {(r["dim"], r["cell"]): r["count"] for r in rows.groupBy(F.size("v").alias("dim"), "cell").count().collect()} if centres else {}  # CELLS rows a length
+    asked = cut(vectors_of(queries).where(held).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     waves = max(1, -(-asked.count() * 10 // (9 * WAVE)))
     parts = []
     for w in range(waves):
@@ -127,17 +237,23 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
         packed = {}
         for n, group in mine.groupby(mine["v"].map(len)):
             group = group.sort_values("vec_id")
-            packed[n] = (group["vec_id"].to_numpy(np.int64), np.floor(64 * np.array(group["v"].tolist(), np.float64)))
-        wave = sc.broadcast(packed)
-        lists = rows.mapInArrow(_gather(wave, k), "query_id long, scores array<double>").select("query_id", F.explode("scores").alias("score"))
-        top = lists.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(f"r = {k}")
-        cutoffs = sc.broadcast({r["query_id"]: r["score"] for r in top.select("query_id", "score").collect()})  # a number for each query of the wave
-        parts.append(rows.mapInArrow(_collect(wave, cutoffs), "query_id long, vec_id long, score long"))
+            q, centre = np.floor(64 * np.array(group["v"].tolist(), np.float64)), centres.get(n)
+            cells = np.array([sizes.get((n, c), 0) for c in range(1 if centre is None else len(centre))])
+            packed[n] = Wave(group["vec_id"].to_numpy(np.int64), q, _near(q, centre, cells, k), np.full(len(q), -np.inf))
+        first = sc.broadcast(packed)
+        schema = "query_id long, vec_id long, score long"
+        last = _k_best(rows.mapInArrow(_scan(first, k, True), schema), k).where(F.col("rank") == k).select("query_id", "score").toPandas()  # a number for each query of the wave
+        cutoff = last.set_index("query_id")["score"]
+        for wave in packed.values():
+            wave.least = cutoff.reindex(wave.ids).to_numpy(np.float64, na_value=-np.inf)
+        second = sc.broadcast(packed)
+        parts.append(cut(_k_best(rows.mapInArrow(_scan(second, k, False), schema), k), "top"))
+        first.destroy()
+        second.destroy()
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op5_exact_top_k(spark, sf_dir: str) -> DataFrame:

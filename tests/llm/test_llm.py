@@ -297,6 +297,37 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
         assert [(-a, b) for a, b in zip(own["score"], own["vec_id"], strict=True)] == want
 
 
+def test_top_k_skips_blocks_and_splits_waves(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    x = np.concatenate([c + 0.1 * rng.normal(size=(150, 16)) for c in centres] + [np.repeat(centres[:1], 300, 0)])
+    for name, value in (("CELL", 100), ("BLOCK", 64), ("HELD", 500), ("SIDE", 16), ("WAVE", 40)):
+        monkeypatch.setattr(topk, name, value)
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = topk.exact_top_k(df, df.where("vec_id % 20 = 0"), 7).toPandas()
+    z = np.floor(64 * x).astype(np.int64)
+    for q in range(0, len(x), 20):
+        score = z @ z[q]
+        want = sorted((-int(score[i]), i) for i in range(len(x)) if i != q)[:7]
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert [(-a, b) for a, b in zip(own["score"], own["vec_id"], strict=True)] == want
+    skipped, q = [], z[:20].astype(float)
+    wave = topk.Wave(np.arange(20), q, np.ones((20, 1), bool), np.sort(q @ z.T, 1)[:, -8].astype(float))
+    blocks = [(0, np.arange(a, a + 50), z[a : a + 50].astype(float)) for a in range(0, 1800, 50)]
+    list(topk.scan(blocks, {16: wave}, 7, False, skipped))
+    assert sum(skipped) > 0.5 * 20 * len(blocks)
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e307, 1.0]), (20, [1e306, 1.0]), (1, [1e306, -1e306]), (2, [-1e306, 1.0]), (40, [3e9, 1.0]), (41, [2e9, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.exact_top_k(df, df.where("vec_id % 20 = 0"), 9).collect()}
+    top = 2**63 - 1
+    assert got == {(20, 1): top, (20, 2): -top, (20, 40): top, (20, 41): top, (40, 1): top, (40, 2): -top, (40, 20): top, (40, 41): top}
+    twice = spark.createDataFrame([(0, [2.0]), (0, [1.0]), (1, [1.0]), (1, [1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in topk.exact_top_k(twice, twice.where("vec_id = 0"), 9).orderBy("rank").collect()] == [(1, 4096), (1, 4096)]
+
+
 def test_near_dedup_edge_cases(spark, monkeypatch):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.05], 0), (3, [1.0, 0.0], 1), (4, [0.0, 0.0], 0), (5, None, 0), (6, [1.0, 0.0], None), (7, [float("inf"), 0.0], 0), (2, [1.0, 0.05], 0), (None, [1.0, 0.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
