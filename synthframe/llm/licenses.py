@@ -19,13 +19,31 @@ from .common import read
 TRIGGERS = ("licen", "copyright", "permission", "warrant", "redistribut", "domain")
 
 # Known sentences by identifier, as public license texts have them; {v} stands for each listed version.
+_FREE = "this {work} is free software{mark} you can redistribute it and/or modify it under the terms of the gnu {name} as published by the free software foundation{stop} either version {v} of the license, or (at your option) any later version"
+_ONLY = "this {work} is free software{mark} you can redistribute it and/or modify it under the terms of the gnu {name} version {v} as published by the free software foundation"
+_HOPE = "this {work} is distributed in the hope that it will be useful, but without any warranty"
+_EVEN = _HOPE + "; without even the implied warranty of merchantability or fitness for a particular purpose"
+_RECEIVED = "you should have received a copy of the gnu {name} along with this {work}"
+_FAMILY = {"GPL": "general public license", "LGPL": "lesser general public license", "AGPL": "affero general public license"}
+
+
+def _free(family: str) -> tuple[str, ...]:
+    return tuple(_FREE.format(work=w, mark=m, stop=s, name=_FAMILY[family], v="{v}") for w in ("program", "library") for m in (":", ";") for s in (",", ";"))
+
+
+def _only(family: str) -> tuple[str, ...]:
+    return tuple(_ONLY.format(work=w, mark=m, name=_FAMILY[family], v="{v}") for w in ("program", "library") for m in (":", ";"))
+
+
 _VERSIONED = {
-    "GPL{v}": ((1, 2, 3), ("this work is licensed under the gnu general public license, version {v}", "licensed under the gnu general public license version {v}", "licensed under the gpl version {v}", "licensed under the gpl v{v}", "released under the gnu general public license, version {v}")),
-    "GPL{v}ref": ((1, 2, 3), ("this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version {v} of the license, or (at your option) any later version", "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version {v} of the license, or (at your option) any later version")),
-    "LGPL{v}": (("2.1", 3), ("licensed under the gnu lesser general public license, version {v}", "this work is licensed under the gnu lesser general public license, version {v}")),
-    "AGPL{v}": ((3,), ("licensed under the gnu affero general public license, version {v}", "this work is licensed under the gnu affero general public license, version {v}")),
-    "Apache{v}": (("1.1", "2.0"), ("licensed under the apache license, version {v}", "licensed under the apache license, version {v} (the \"license\")", "this work is licensed under the apache license, version {v}")),
-    "MPL{v}": (("1.1", "2.0"), ("this source code form is subject to the terms of the mozilla public license, v. {v}", "licensed under the mozilla public license, version {v}")),
+    "GPL{v}": ((1, 2, 3), ("this work is licensed under the gnu general public license, version {v}", "licensed under the gnu general public license version {v}", "licensed under the gpl version {v}", "licensed under the gpl v{v}", "released under the gnu general public license, version {v}", *_only("GPL"))),
+    "GPL{v}ref": ((1, 2, 3), _free("GPL")),
+    "LGPL{v}": (("2.1", 3), ("licensed under the gnu lesser general public license, version {v}", "this work is licensed under the gnu lesser general public license, version {v}", *_only("LGPL"))),
+    "LGPL{v}ref": (("2.1", 3), _free("LGPL")),
+    "AGPL{v}": ((3,), ("licensed under the gnu affero general public license, version {v}", "this work is licensed under the gnu affero general public license, version {v}", *_only("AGPL"))),
+    "AGPL{v}ref": ((3,), _free("AGPL")),
+    "Apache{v}": (("1.1", "2.0"), ("licensed under the apache license, version {v}", "licensed under the apache license, version {v} (the \"license\")", "this work is licensed under the apache license, version {v}", "the asf licenses this file to you under the apache license, version {v} (the \"license\")")),
+    "MPL{v}": (("1.1", "2.0"), ("this source code form is subject to the terms of the mozilla public license, v. {v}", "this source code form is subject to the terms of the mozilla public license, v. {v}. if a copy of the mpl was not distributed with this file, you can obtain one at http://mozilla.org/mpl/{v}/", "this source code form is subject to the terms of the mozilla public license, v. {v}. if a copy of the mpl was not distributed with this file, you can obtain one at https://mozilla.org/mpl/{v}/", "licensed under the mozilla public license, version {v}")),
     "EPL{v}": (("1.0", "2.0"), ("this program and the accompanying materials are made available under the terms of the eclipse public license v{v}", "licensed under the eclipse public license, version {v}")),
     "CCBY{v}": (("3.0", "4.0"), ("licensed under cc by {v}", "this work is licensed under cc by {v}", "this work is licensed under a creative commons attribution {v} international license")),
     "CCBYSA{v}": (("3.0", "4.0"), ("licensed under cc by-sa {v}", "this work is licensed under cc by-sa {v}", "this work is licensed under a creative commons attribution-sharealike {v} international license")),
@@ -41,31 +59,38 @@ _PLAIN = {
     "MITgrant": ("permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"software\"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions",),
     "MITnotice": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
     "ASIS": ("the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement",),
-    "ISCgrant": ("permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
+    "MITliable": ("in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software",),
+    "ISCgrant": ("permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    "ISCdisclaim": ("the software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "the software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. in no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software"),
     "BSDpre": ("redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
     "BSDsource": ("redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",),
     "BSDbinary": ("redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",),
     "BSDendorse": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission, as far as this license goes", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "BSDdisclaim": ("this software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
+    "BSDliable": tuple(f"in no event shall the copyright {who} or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage" for who in ("holder", "owner", "holders")),
     "ApacheNot": ("you may not use this file except in compliance with the license",),
-    "ApacheCopy": ("you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0",),
-    "NOWARRANTY": ("this program is distributed in the hope that it will be useful, but without any warranty", "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"as is\" basis, without warranties or conditions of any kind, either express or implied"),
+    "ApacheCopy": tuple(f"you may obtain a copy of the license at{gap} http{s}://www.apache.org/licenses/license-2.0" for gap in ("", ".") for s in ("", "s")),
+    "ApacheSee": ("see the license for the specific language governing permissions and limitations under the license",),
+    "NOWARRANTY": (*[t.format(work=w) for w in ("program", "library") for t in (_HOPE, _EVEN)], "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"as is\" basis, without warranties or conditions of any kind, either express or implied"),
+    "SEEGNU": tuple(f"see the gnu {name} for more details" for name in _FAMILY.values()),
     "UNLICENSE": ("this is free and unencumbered software released into the public domain",),
-    "SEECOPY": ("you should have received a copy of the gnu general public license along with this program",),
+    "SEECOPY": tuple(_RECEIVED.format(work=w, name=n) + more for w in ("program", "library") for n in _FAMILY.values() for more in ("", ". if not, see <http://www.gnu.org/licenses/>", ". if not, see <https://www.gnu.org/licenses/>", "; if not, see <http://www.gnu.org/licenses/>", "; if not, see <https://www.gnu.org/licenses/>", "; if not, write to the free software foundation, inc., 51 franklin street, fifth floor, boston, ma 02110-1301 usa")),
     "ALLRIGHTS": ("copyright all rights reserved",),
 }
 # Rules in the order in which they apply: identifiers in a row -> license. {v} as above.
 _RULES = [
+    (("BSDpre", "BSDsource", "BSDbinary", "BSDendorse", "BSDdisclaim", "BSDliable"), "BSD-3-Clause"),
     (("BSDpre", "BSDsource", "BSDbinary", "BSDendorse"), "BSD-3-Clause"),
+    (("BSDpre", "BSDsource", "BSDbinary", "BSDdisclaim", "BSDliable"), "BSD-2-Clause"),
     (("BSDpre", "BSDsource", "BSDbinary"), "BSD-2-Clause"),
+    (("MITgrant", "MITnotice", "ASIS", "MITliable"), "MIT"),
     (("MITgrant", "MITnotice", "ASIS"), "MIT"),
     (("MITgrant", "MITnotice"), "MIT"),
+    (("Apache2.0", "ApacheNot", "ApacheCopy", "NOWARRANTY", "ApacheSee"), "Apache-2.0"),
     (("Apache2.0", "ApacheNot", "ApacheCopy"), "Apache-2.0"),
     (("Apache2.0", "ApacheNot"), "Apache-2.0"),
-    (("GPL{v}ref", "NOWARRANTY"), "GPL-{v}.0-or-later"),
-    (("GPL{v}ref",), "GPL-{v}.0-or-later"),
-    (("GPL{v}",), "GPL-{v}.0-only"),
-    (("LGPL{v}",), "LGPL-{v}"),
-    (("AGPL{v}",), "AGPL-{v}.0"),
+    *[((f"{f}{{v}}{ref}", *rest), f"{name}-{how}") for f, name in (("GPL", "GPL-{v}.0"), ("LGPL", "LGPL-{v}"), ("AGPL", "AGPL-{v}.0")) for ref, how in (("ref", "or-later"),) for rest in (("NOWARRANTY", "SEEGNU", "SEECOPY"), ("NOWARRANTY", "SEEGNU"), ("NOWARRANTY",), ())],
+    *[((f"{f}{{v}}", *rest), name) for f, name in (("GPL", "GPL-{v}.0-only"), ("LGPL", "LGPL-{v}"), ("AGPL", "AGPL-{v}.0")) for rest in (("NOWARRANTY", "SEEGNU", "SEECOPY"), ("NOWARRANTY",), ())],
     (("Apache{v}",), "Apache-{v}"),
     (("MPL{v}",), "MPL-{v}"),
     (("EPL{v}",), "EPL-{v}"),
@@ -74,6 +99,7 @@ _RULES = [
     (("CCBYSA{v}",), "CC-BY-SA-{v}"),
     (("CCBYND{v}",), "CC-BY-ND-{v}"),
     (("CCBY{v}",), "CC-BY-{v}"),
+    (("ISCgrant", "ISCdisclaim"), "ISC"),
     (("ISCgrant", "ASIS"), "ISC"),
     (("ISCgrant",), "ISC"),
     (("MITname",), "MIT"),
@@ -139,7 +165,8 @@ def _spark_sql(column: str) -> str:
     codes, rows = known_parts()
     keys = ", ".join(map(_quoted, codes))
     values = ", ".join(map(_quoted, codes.values()))
-    low = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ\\u0001', 'abcdefghijklmnopqrstuvwxyz ')"
+    bare = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ\\u0001', 'abcdefghijklmnopqrstuvwxyz ')"
+    low = f"regexp_replace({bare}, '(?m)^[\\\\x20\\\\t]*(?:/[*]+|[*]+/?|#+|//+|--+|;+|%+)(?=\\\\s|$)', '')"
     joined = f"regexp_replace(regexp_replace({low}, '\\\\n[\\\\x20\\\\t]*\\\\n', '.\\n'), '([^.!?:;])\\\\n', '$1\\u0001')"
     bounded = f"regexp_replace({joined}, '[.!?:;]+[\\\\x20\\\\t\\\\n]+', '\\n')"
 
@@ -160,14 +187,14 @@ def license_scan(docs: DataFrame) -> DataFrame:
     rules), leftover (known sentences that no rule has used).
 
     A null or empty text has none. A sentence counts if either way to cut finds it; one with its lines joined counts once,
-    whatever its lines hold. One row per input row, repeated ones too; other columns are not read."""
+    whatever its lines hold. Marks that begin comment lines are no part of a text. One row per input row, repeated ones too; other columns are not read."""
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     look = " or ".join(f"contains({low}, '{w}')" for w in TRIGGERS)
     none = "cast(array() as array<string>)"
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     ids = texts.select("doc_id", F.expr(f"case when {look} then {_spark_sql('text')} else {none} end").alias("ids"))
     return ids.select("doc_id", F.expr("cast(size(ids) as long)").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), _matched().alias("m")).select(
-        "doc_id", "n_sentences", "sentence_ids", F.array_join("m.licenses", ",").alias("licenses"), F.regexp_replace(F.expr("trim(both ',' from m.rest)"), "[,|]+", ",").alias("leftover")
+        "doc_id", "n_sentences", "sentence_ids", F.array_join("m.licenses", ",").alias("licenses"), F.expr("trim(both ',' from regexp_replace(m.rest, '[,|]+', ','))").alias("leftover")
     )
 
 
@@ -206,7 +233,7 @@ one as (select d.doc_id, coalesce(arg_max(ids, n * 2 - way + 2), []) ids, coales
 s0 as (select doc_id, ids, n, case when n = 0 then '' else ',' || array_to_string(ids, ',,') || ',' end rest, cast([] as varchar[]) lic from one)
 {steps}
 select doc_id, cast(n as bigint) n_sentences, coalesce(array_to_string(ids, ','), '') sentence_ids, coalesce(array_to_string(lic, ','), '') licenses,
-  regexp_replace(trim(rest, ','), '[,|]+', ',', 'g') leftover
+  trim(regexp_replace(rest, '[,|]+', ',', 'g'), ',') leftover
 from s{len(bar)}
 """
 

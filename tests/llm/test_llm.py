@@ -72,7 +72,7 @@ def test_every_known_sentence_and_rule_is_found(spark):
     first = {name: s for s, name in reversed(texts)}
     rules = licenses.rules()
     got = licenses.license_scan(spark.createDataFrame([(k, "\n".join(first[i] + "." for i in seq.strip(",").split(","))) for k, (seq, _) in enumerate(rules)], "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [(r["licenses"], r["leftover"].strip(",")) for r in got] == [(name, "") for _, name in rules]
+    assert [(r["licenses"], r["leftover"]) for r in got] == [(name, "") for _, name in rules]
     # notices as they stand in source files; parts that aren't neighbours are no sentence
     gpl = "Copyright (C) A\n\nThis program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without more.\n"
     mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of it was not distributed. */"
@@ -99,6 +99,42 @@ def test_a_broken_trigger_is_seen(spark):
     assert [r["licenses"] for r in got] == ["Unlicense", "CC0-1.0"]
 
 
+GPL = "This {w} is free software{m} you can redistribute it and/or modify\nit under the terms of the GNU {n} as published by\nthe Free Software Foundation, either version {v} of the License, or\n(at your option) any later version.\n\nThis {w} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {n} for more details.\n\nYou should have received a copy of the GNU {n}\nalong with this {w}.  If not, see <https://www.gnu.org/licenses/>.\n"
+APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n"
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.\n"
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n{third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE\nFOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL\nDAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR\nSERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER\nCAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,\nOR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE\nOF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.\n"
+THIRD = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+ISC = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND\nFITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,\nINDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS\nOF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER\nTORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF\nTHIS SOFTWARE.\n"
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n"
+NOTICES = [
+    (GPL.format(w="program", m=":", n="General Public License", v=3), "GPL-3.0-or-later"),
+    (GPL.format(w="program", m=";", n="General Public License", v=2), "GPL-2.0-or-later"),
+    (GPL.format(w="library", m=";", n="Lesser General Public License", v="2.1"), "LGPL-2.1-or-later"),
+    (GPL.format(w="program", m=":", n="Affero General Public License", v=3), "AGPL-3.0-or-later"),
+    (APACHE, "Apache-2.0"),
+    (MPL, "MPL-2.0"),
+    (BSD.format(third=THIRD), "BSD-3-Clause"),
+    (BSD.format(third=""), "BSD-2-Clause"),
+    (ISC, "ISC"),
+    (MIT, "MIT"),
+]
+
+
+@pytest.mark.parametrize("lead", ["", "# ", " * ", "// ", "-- ", ";; "])
+def test_full_notices_are_recognised(spark, lead):
+    texts = ["".join(f"{lead}{line}".rstrip() + "\n" for line in ["Copyright (c) 2020 A. Author", "", *text.splitlines()]) for text, _ in NOTICES]
+    if lead == " * ":
+        texts = [f"/*\n{t} */\nint main() {{}}\n" for t in texts]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["licenses"], r["leftover"]) for r in got] == [(name, "") for _, name in NOTICES]
+
+
+def test_leftover_lists_what_no_rule_used(spark):
+    text = "Released under the MIT license.\nYou may not use this file except in compliance with the License.\nx\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    got = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["licenses"], got["leftover"]) == ("MIT", "ApacheNot,MITnotice")
+
+
 # 2 quality
 
 
