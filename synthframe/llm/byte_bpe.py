@@ -21,8 +21,9 @@ from .common import map_columns, read, texts_of
 from .word_tokens import vocabulary
 
 #: States of the determinised transducer before it starts afresh, pre-tokens that a worker keeps, the longest kept, and
-#: bytes held back at most until the next decided place.
+#: bytes held back at most until the next decided place. Pairs of tokens, and moves of the decoder, that are remembered.
 STATES, CACHE, LONGEST, FLUSH = 200_000, 500_000, 64, 256
+PAIRS, MOVES = 1_000_000, 500_000
 _NEVER = 1 << 60
 
 
@@ -78,6 +79,8 @@ class Transducer:
         """Whether BPE leaves the two tokens apart: no merge over their border comes before those that use its sides up."""
         key = (left, right)
         if key not in self.fit:
+            if len(self.fit) >= PAIRS:
+                self.fit.clear()
             a, b, i, j, apart = self._spine(left, 1), self._spine(right, 0), 0, 0, True
             while True:
                 after_a = a[i + 1] if i + 1 < len(a) else _NEVER
@@ -167,6 +170,8 @@ class Decoder:
         """The state after the token, and how many of its bytes complete characters."""
         key = (state, token)
         if key not in self.moves:
+            if len(self.moves) >= MOVES:
+                self.moves.clear()
             done = 0
             for k, byte in enumerate(self.tokens[token], 1):
                 after = self.table[state][byte]
