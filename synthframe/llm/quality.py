@@ -23,6 +23,8 @@ from .common import SLICE_ROWS, map_columns, read, texts_of
 LABEL_ROWS, FIT_PARTITIONS = 50_000, 16
 #: Random features, kernel width in standard deviations of a statistic, ridge penalty a row, seed.
 FEATURES, WIDTH, RIDGE, SEED = 256, 3.0, 1e-4, 20240229
+#: Digits of a raw score.
+DIGITS = 9
 
 STATISTICS = 16
 _BYTES = np.arange(256)
@@ -68,7 +70,12 @@ class QualityModel:
     levels: np.ndarray  # calibrated, rising
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(np.interp(features((x - self.mean) / self.scale) @ self.weights, self.knots, self.levels), 0.0, 1.0)
+        return np.clip(np.interp(raw_scores(x, self.mean, self.scale, self.weights), self.knots, self.levels), 0.0, 1.0)
+
+
+def raw_scores(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Rounded, so that equal texts score equally in batches of any size."""
+    return np.round(features((x - mean) / scale) @ weights, DIGITS)
 
 
 def features(z: np.ndarray) -> np.ndarray:
@@ -80,11 +87,11 @@ def features(z: np.ndarray) -> np.ndarray:
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: (raw score, calibrated probability) at the blocks' means, rising."""
-    order = np.argsort(raw, kind="stable")
+    """Pool-adjacent-violators: (raw score, calibrated probability) at the blocks' means, rising. Equal scores are one block."""
+    values, at, rows = np.unique(raw, return_inverse=True, return_counts=True)
     blocks: list[list[float]] = []  # sum of raw, sum of labels, rows
-    for r, y in zip(raw[order].tolist(), label[order].tolist(), strict=True):
-        blocks.append([r, y, 1.0])
+    for r, y, n in zip(values.tolist(), np.bincount(at, label).tolist(), rows.tolist(), strict=True):
+        blocks.append([r * n, y, float(n)])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
@@ -147,7 +154,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Q
     held = data.where("fold = 1").select("x", "y").toPandas()  # a quarter of the bounded sample
     if not len(held):
         return QualityModel(mean, scale, weights, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    raw = features((np.array(held["x"].tolist()) - mean) / scale) @ weights
+    raw = raw_scores(np.array(held["x"].tolist()), mean, scale, weights)
     return QualityModel(mean, scale, weights, *isotonic(raw, held["y"].to_numpy(np.float64)))
 
 
@@ -173,7 +180,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs, with all its columns, without the rows that the classifier rejects."""
+    """docs, with all its columns, without the rows that the classifier rejects.
+
+    A row whose score is the threshold stays. A null text is scored as an empty one, by which both stay or go; repeated
+    rows do so together; rows without a doc_id are scored like others. Without labels to learn from all rows stay."""
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
     at = docs.columns.index("text")
 
