@@ -10,6 +10,7 @@ table, and the fitted classifier is a set of accepted cells."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 from .common import SLICE_ROWS, map_columns, read, texts_of
 from .secrets import SPANS, digest_columns
 
@@ -118,6 +119,12 @@ def candidates(text: str) -> list[tuple[int, str, int, bool, int]]:
     """(start, kind, end, base, cell) of base spans and of wider matches that overlap none of them."""
     base = base_spans(text)
     found = [(a, k, b, True) for a, k, b in base]
+    taken: list[tuple[int, int]] = []  # what base spans cover, without overlaps
+    for a, _, b in base:
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     digits = bool(_DIGIT.search(text))
     for kind, pattern in _MORE.items():
         if kind == "email":
@@ -125,9 +132,9 @@ def candidates(text: str) -> list[tuple[int, str, int, bool, int]]:
                 continue
         elif not digits and kind != "ip" or kind == "ip" and text.count(":") < 7:
             continue
-        own = [(a, b) for a, _, b in base]
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in own):
+            k = bisect_right(taken, m.start(), key=lambda s: s[0])  # the last that begins here or before, and the next one
+            if not ((k and taken[k - 1][1] > m.start()) or (k < len(taken) and taken[k][0] < m.end())):
                 found.append((m.start(), kind, m.end(), False))
     out = []
     for a, k, b, is_base in sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2])):
@@ -189,17 +196,29 @@ class PiiModel:
     reliability: dict[str, list]
 
 
-def fit_pii(docs: DataFrame, least: float = 0.9) -> PiiModel:
-    """Counts of (kind, cell) over all documents -> labelers' reliabilities and the accepted cells."""
+CANDIDATES = "array<struct<kind:string,start:int,end:int,base:boolean,cell:int>>"
+
+
+def pii_candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, found: every text's candidates with their cells, by start and then kind. Null texts have none."""
 
     def make():
         def fn(cols: dict) -> dict:
-            found = [c for t in cols["text"] for c in (candidates(t) if t else ())]
-            return {"kind": [c[1] for c in found], "cell": [c[4] for c in found]}
+            names = ("start", "kind", "end", "base", "cell")
+            return {"doc_id": cols["doc_id"], "found": [[dict(zip(names, c, strict=True)) for c in (candidates(t) if t else ())] for t in cols["text"]]}
 
         return fn
 
-    rows = map_columns(docs.select("text"), make, "kind string, cell int").groupBy("kind", "cell").count().collect()  # 4 * 4860 at most
+    return map_columns(texts_of(docs), make, f"doc_id long, found {CANDIDATES}")
+
+
+def fit_pii(found: DataFrame, least: float = 0.9) -> PiiModel:
+    """Counts of (kind, cell) over all candidates -> labelers' reliabilities and the accepted cells.
+
+    A cell is accepted if both the classifier and the labelers' posterior hold it for true: the classifier spreads what
+    is learned over cells, and may not overrule the votes."""
+    cells = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.cell").count()
+    rows = cells.collect()  # 4 * 4860 at most
     accepted, reliability = set(), {}
     for kind in KINDS:
         own = sorted((r["cell"], r["count"]) for r in rows if r["kind"] == kind)
@@ -221,29 +240,30 @@ def find_pii(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
     """doc_id, base (spans of the base patterns), spans (those and what the classifier adds), of every whole text.
 
     Spans hold kind, start and end in code points, end exclusive, by start and then kind. A null text counts as empty;
-    one row per input row; other columns are not read. The model is fitted on docs unless given."""
-    docs = texts_of(docs)
-    own = docs.sparkSession.sparkContext.broadcast(model or fit_pii(docs))
+    one row per input row; other columns are not read. The model is fitted on docs unless given. Texts are read once:
+    their candidates, written out, serve both the fit and the result."""
+    found = cut(pii_candidates(docs), "candidates")
+    own = docs.sparkSession.sparkContext.broadcast((model or fit_pii(found)).accepted)
 
     def make():
         def fn(cols: dict) -> dict:
             out: dict = {"doc_id": cols["doc_id"], "base": [], "spans": []}
-            for t in cols["text"]:
-                found = [({"kind": k, "start": a, "end": b}, base) for a, k, b, base in (text_pii(t, own.value) if t else ())]
-                out["base"].append([s for s, base in found if base])
-                out["spans"].append([s for s, _ in found])
+            for listed in cols["found"]:
+                spans = [({k: c[k] for k in ("kind", "start", "end")}, c["base"]) for c in listed if c["base"] or (c["kind"], c["cell"]) in own.value]
+                out["base"].append([s for s, base in spans if base])
+                out["spans"].append([s for s, _ in spans])
             return out
 
         return fn
 
-    return map_columns(docs, make, f"doc_id long, base {SPANS}, spans {SPANS}")
+    return map_columns(found, make, f"doc_id long, base {SPANS}, spans {SPANS}")
 
 
 def redact_pii(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
     """docs with every found span replaced by its kind in angle brackets (<EMAIL>); n_chars, if there, follows. Overlapping
     spans are replaced together, by the first one's kind. Nulls stay null; all other columns stay as they are."""
     ship(docs.sparkSession)
-    own = docs.sparkSession.sparkContext.broadcast(model or fit_pii(docs))
+    own = docs.sparkSession.sparkContext.broadcast(model or fit_pii(cut(pii_candidates(docs), "candidates")))
     schema, names = docs.schema, docs.columns
 
     def clean(text: str) -> str:

@@ -159,6 +159,52 @@ def test_quality_on_held_out_rows(spark, docs, odd, empty):
     assert kept.columns == odd.columns and kept.count() <= odd.count()
 
 
+def _refit(texts, known):
+    """The classifier by numpy alone, from {doc_id: (text, quality)}: scores of texts."""
+    fold = {d: zlib.crc32(str(d).encode()) % 5 for d in known}
+    x = {d: np.array(quality.statistics(t)) for d, (t, _) in known.items()}
+    fit, held = [d for d in sorted(known) if fold[d] > 1], [d for d in sorted(known) if fold[d] == 1]
+    a, y = np.array([x[d] for d in fit]), np.array([known[d][1] for d in fit], float)
+    mean, scale = a.mean(0), a.std(0)
+    scale[scale <= 1e-9] = 1
+
+    def features(m):
+        rng = np.random.default_rng(quality.SEED)
+        w, b = rng.normal(0, 1 / quality.WIDTH, (m.shape[1], quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+        z = np.clip((m - mean) / scale, -8, 8)
+        return np.column_stack((np.sqrt(2 / quality.FEATURES) * np.cos(z @ w + b), np.ones(len(z))))
+
+    f = features(a)
+    weights = np.linalg.solve(f.T @ f + quality.RIDGE * len(a) * np.eye(f.shape[1]), f.T @ y)
+    raw = np.round(features(np.array([x[d] for d in held])) @ weights, 9)
+    knots, levels = quality.isotonic(raw, np.array([known[d][1] for d in held], float))
+    return np.clip(np.interp(np.round(features(np.array([quality.statistics(t) for t in texts])) @ weights, 9), knots, levels), 0, 1)
+
+
+def test_quality_scores_are_those_of_a_refit(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = pd.read_parquet(f"{sf}/documents.parquet")[["doc_id", "text"]]
+    text = dict(zip(docs["doc_id"], docs["text"], strict=True))
+    labels = pd.read_parquet(f"{sf}/labels.parquet")
+    known = {d: (text[d], q) for d, q in zip(labels["doc_id"], labels["quality"], strict=True) if d in text and q == q and zlib.crc32(str(d).encode()) % 5}
+    got = catalog.QUERIES["op2_quality_classifier"](spark, sf).toPandas().set_index("doc_id")["score"]
+    want = _refit(list(text.values()), known)
+    assert np.abs(got.reindex(list(text)).to_numpy() - want).max() < 1e-6
+
+
+def test_quality_of_odd_labels_and_texts(spark, odd):
+    one = spark.createDataFrame([(k, 1, 0) for k in range(11)], "doc_id long, quality int, toxic int")
+    scores = [r["score"] for r in quality.quality_scores(odd, one).collect()]
+    assert len(scores) == odd.count() and all(s == 1 for s in scores)
+    nothing = spark.createDataFrame([(k, None) for k in range(40)], "doc_id long, text string")
+    mixed = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    rows = quality.quality_scores(nothing, mixed).collect()
+    assert len({r["score"] for r in rows}) == 1 and 0 < rows[0]["score"] < 1
+    assert quality.keep_good(nothing, one.where("false")).count() == 40
+    some = {r["doc_id"]: r["score"] for r in quality.quality_scores(odd, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).collect()}
+    assert some[0] == some[1]  # null and empty
+
+
 # 3 token counts, 7 packing
 
 
@@ -216,6 +262,11 @@ def test_packing_is_whole_gapless_and_within_capacity(docs, odd, capacity):
             assert at <= capacity
 
 
+def test_packing_needs_few_sequences(spark):
+    got = catalog.QUERIES["op7_best_fit_packing"](spark, "/root/testdata/sf0.01").toPandas()
+    assert got["sequence_id"].nunique() <= 1.01 * -(-got["length"].sum() // 4096)
+
+
 def test_packing_of_nothing(empty):
     assert packing.best_fit_packing(empty, WORDS).count() == 0
 
@@ -309,6 +360,38 @@ def test_estimation_trusts_labelers_that_agree():
     assert pii.luhn("4242424242424242") and not pii.luhn("4242424242424241")
 
 
+def test_added_spans_are_the_accepted_candidates(spark, docs):
+    """The wider patterns and the model by plain loops, from candidates that overlap no base span."""
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()} | {10**6 + k: t for k, t in enumerate(["mail bob [at] example [dot] com, tel 030-1234-5678 and x 4242 4242 4242 4242", "call 555 123 4567 or +49 30 1234567", "ip 1.2.3.4 host 2001:db8:0:0:1:0:0:1 ok"] * 30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    wide = {}
+    for d, t in texts.items():
+        base = pii.base_spans(t)
+        more = [(m.start(), k, m.end()) for k, p in pii._MORE.items() for m in p.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+        wide[d] = {(a, k, b): pii.candidates(t) for a, k, b in [*base, *more]}
+        assert {c[:3] for c in pii.candidates(t)} == set(wide[d])
+    found = pii.pii_candidates(df)
+    model = pii.fit_pii(found)
+    counted = Counter((c[1], c[4]) for t in texts.values() for c in pii.candidates(t))
+    for kind in pii.KINDS:
+        cells = sorted(c for k, c in counted if k == kind)
+        if cells:
+            n = np.array([counted[kind, c] for c in cells], float)
+            soft, _, _ = pii.estimate(np.array([pii.cell_votes(c) for c in cells]), n)
+            p = pii.train(np.array(cells), n, soft)
+            assert {c for k, c in model.accepted if k == kind} == {c for c, x, y in zip(cells, p, soft, strict=True) if min(x, y) >= 0.9}
+    got = {r["doc_id"]: {(s["start"], s["kind"], s["end"]) for s in r["spans"]} for r in pii.find_pii(df).collect()}
+    assert got == {d: {c[:3] for c in pii.candidates(t) if c[3] or (c[1], c[4]) in model.accepted} for d, t in texts.items()}
+    assert any(c[:3] in got[d] and not c[3] for d, t in texts.items() for c in pii.candidates(t))
+
+
+def test_candidates_of_long_texts_take_linear_time():
+    text = "write to a.b@c.de or 555 123 4567, card 4242 4242 4242 4242, +49 30 1234567 " * 3000
+    began = time.process_time()
+    assert len(pii.candidates(text)) >= 9000
+    assert time.process_time() - began < 3
+
+
 # 5 top-k, 9 near-dedup
 
 
@@ -558,12 +641,28 @@ def test_streaming_decoder_cuts_between_characters():
     assert b"".join(d.stream([0xFF, 0x61, 0xE6])) == b"\xff\x61\xe6"
 
 
-def test_round_trip_query(odd, empty):
+def test_round_trip_query(odd, empty, docs):
+    tiktoken = pytest.importorskip("tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(BYTES), special_tokens={})
+    encoded = {r["doc_id"]: r["ids"] for r in byte_bpe.encode_documents(docs, BYTES, P.PATTERN).collect()}
+    assert encoded == {r["doc_id"]: enc.encode_ordinary(r["text"] or "") for r in docs.collect()}
     for r in byte_bpe.round_trip(odd, BYTES, P.PATTERN).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+        ids = enc.encode_ordinary(r["text"] or "")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
     assert byte_bpe.round_trip(empty, BYTES, P.PATTERN).count() == 0
     decoded = byte_bpe.decode_documents(byte_bpe.encode_documents(odd, BYTES, P.PATTERN), BYTES, P.PATTERN)
-    assert decoded.count() == odd.count()
+    assert Counter((r["doc_id"], bytes(r["bytes"])) for r in decoded.collect()) == Counter((r["doc_id"], (r["text"] or "").encode()) for r in odd.collect())
+
+
+def test_remembered_pairs_and_moves_are_bounded(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PAIRS", 50)
+    monkeypatch.setattr(byte_bpe, "MOVES", 50)
+    ranks = byte_bpe.load_ranks(BYTES)
+    transducer, decoder = byte_bpe.Transducer(ranks), byte_bpe.Decoder(dict(list({r: b for b, r in ranks.items()}.items())[:2000]))
+    for t in ODD_TEXTS[3:]:
+        assert b"".join(transducer.tokens[i] for i in transducer.encode(t.encode())) == t.encode()
+    assert len(transducer.fit) <= 50 and len(decoder.moves) <= 50
 
 
 # pipeline
@@ -577,6 +676,8 @@ def test_pipeline_stages(spark, odd):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
         assert stage(spark, odd, SF).columns == odd.columns
         docs = out
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.where("false"), SF).count() == 0, name
     pieces = corpus_pipeline.run(spark, SF).toPandas()
     assert set(pieces["doc_id"]) == {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert pieces.groupby("sequence_id")["length"].sum().max() <= 4096
