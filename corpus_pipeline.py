@@ -18,7 +18,9 @@ from synthframe.session import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; it learns from the labelled documents of sf_dir."""
+    """Documents that the quality classifier doesn't reject; it learns from the labelled documents of sf_dir.
+
+    Null and empty texts get one score and stay or go together; repeated rows too; an empty table stays empty."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -33,12 +35,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind. Null texts stay null, empty ones empty; every row stays."""
     return redact_pii(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens in their sequences."""
+    """Pieces of at most 4096 tokens in their sequences. A null or empty text is one piece of the end token alone; repeated
+    rows and rows without a doc_id are documents of their own; an empty table gives no pieces."""
     return best_fit_packing(docs, vocabulary("word_bpe_49k.json"), 4096, 1)
 
 
