@@ -14,12 +14,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import map_columns, read, texts_of
-from .word_tokens import ids_bytes, piece_tables, vocabulary
+from .common import byte_slices, read, texts_of
+from .word_tokens import GROUP, ids_bytes, piece_tables, vocabulary
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
@@ -157,25 +158,29 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[dict[str, np.ndarray],
 def _cut_pieces(table, capacity: int, end_id: int):
     end = ids_bytes([end_id])
 
-    def make():
-        values, seen = table().values, Counter()
+    def run(batches):
+        own, seen = table(), Counter()
         task = np.random.SeedSequence().entropy % (1 << 62)  # names this run of the task; only one run's rows are kept
-
-        def fn(cols: dict) -> dict:
-            out: dict = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "task", "local")}
-            for doc_id, found in zip(cols["doc_id"], values([t or "" for t in cols["text"]]), strict=True):
-                ids = b"".join(found) + end
-                for k, start in enumerate(range(0, len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    length = len(part) // 4
-                    for name, x in zip(out, (doc_id, k, start, length, zlib.crc32(part), task, seen[length]), strict=True):
-                        out[name].append(x)
-                    seen[length] += 1
-            return out
-
-        return fn
-
-    return make
+        for whole in batches:
+            for batch in byte_slices(whole, 1, GROUP):
+                counts, ids = own.ids(batch.column(1))
+                data, at = memoryview(ids).cast("B"), 0
+                out: dict = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32", "local")}
+                for row, n in enumerate(counts.tolist()):
+                    for k, start in enumerate(range(0, n + 1, capacity)):
+                        length = min(capacity, n + 1 - start)
+                        crc = zlib.crc32(data[4 * (at + start) : 4 * (at + min(start + length, n))])
+                        if start + length > n:
+                            crc = zlib.crc32(end, crc)
+                        for name, x in zip(out, (row, k, start, length, crc, seen[length]), strict=True):
+                            out[name].append(x)
+                        seen[length] += 1
+                    at += n
+                rows = out.pop("row")
+                columns = [pa.array(v, pa.int32() if k == "piece" else pa.int64()) for k, v in out.items()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns, pa.array([task] * len(rows), pa.int64())], names=["doc_id", *out, "task"])
+
+    return run
 
 
 def best_fit_packing(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -186,9 +191,9 @@ def best_fit_packing(docs: DataFrame, path: str, capacity: int = 4096, end_id: i
     columns are not read; an empty table gives an empty result."""
     spark = docs.sparkSession
     docs = texts_of(docs)
-    table = piece_tables(docs, path, ids_bytes)
+    table = piece_tables(docs, path)
     cutted = cut(
-        map_columns(docs, _cut_pieces(table, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, task long, local long"),
+        docs.mapInArrow(_cut_pieces(table, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, local long, task long"),
         "pieces",
     )
     per_task = cutted.groupBy("length", "task").agg(F.count("*").alias("n"))
@@ -198,8 +203,6 @@ def best_fit_packing(docs: DataFrame, path: str, capacity: int = 4096, end_id: i
     ranks = per_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
 
     def place(batches):
-        import pyarrow as pa
-
         r = runs.value
         lengths = np.array(sorted(r["base"]), np.int64)
         bases = np.array([r["base"][x] for x in lengths.tolist()], np.int64)
