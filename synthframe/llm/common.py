@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import cut, ship
+from ..session import cut, discard, ship
 
 #: Rows that Python holds as objects at a time, whatever the size of an Arrow batch, and bytes of texts.
-SLICE_ROWS, SLICE_BYTES = 1024, 1 << 25
+SLICE_ROWS, SLICE_BYTES = 1024, 1 << 22
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,16 @@ def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Re
         start = end
 
 
+def small_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of SLICE_ROWS rows at most, and of SLICE_BYTES in the text column, if there is one."""
+    for start in range(0, batch.num_rows, SLICE_ROWS):
+        part = batch.slice(start, SLICE_ROWS)
+        if "text" in part.schema.names:
+            yield from byte_slices(part, part.schema.names.index("text"), SLICE_BYTES)
+        else:
+            yield part
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow over slices: make() runs once a task; what it returns turns {column: list} into {column: list or array}."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -46,8 +56,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
         arrow = to_arrow_schema(schema)
         fn = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in small_slices(batch):
                 out = fn({name: part.column(k).to_pylist() for k, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -130,7 +139,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
+        before = e
         e = cut(small, "edges")
+        discard(before, least)
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break

@@ -24,14 +24,16 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .common import connected_components, map_columns, read, sorted_runs, spanning_roots, spread_join, texts_of
+from ..session import cut, discard
+from .common import connected_components, map_columns, read, small_slices, sorted_runs, spanning_roots, spread_join, texts_of
 
 #: Words whose hashes a worker keeps.
-WORDS = 400_000
+WORDS = 150_000
+#: Equal segments that linked sets have beyond the one that is needed, as a rule.
+SURPLUS = 8
 #: Global fragments of the order that partial overlaps are counted by.
 FRAGMENTS = 4
 #: Members that a task compares with a pivot's fragment; unplaced members, members and n-grams in a block.
@@ -79,11 +81,12 @@ def gram_set(text: str | None, n: int) -> np.ndarray:
 
 @cache
 def _level_start(i: int, percent: int) -> int:
-    """Least set size of level i; a level's sizes differ by a half (below 85 percent a quarter) at most, besides the first ones."""
+    """Least set size of level i. Linked sets are at most one level apart, as a level's sizes differ by as much as theirs may,
+    and by a half from 85 percent on."""
     if i == 0:
         return 1
     last = _level_start(i - 1, percent)
-    return max(last + 1, last * 3 // 2 if percent >= 85 else last * 5 // 4)
+    return max(last + 1, last * 3 // 2 if percent >= 85 else -(-last * 100 // percent))
 
 
 @cache
@@ -93,7 +96,8 @@ def segment_plan(level: int, percent: int) -> tuple[int, int, int]:
     With |A & B| <= r (the level's largest size), 100 |A & B| >= percent |A | B| leaves r (100 - percent) / percent
     differences at most, so at least fragments - differences segments are equal. Weak segments say little and aren't
     used, unless a set has at least that many: if all equal segments are weak, they are so in both sets, and both sets use
-    theirs. Spare fragments make that rare (about one set in a thousand), never wrong."""
+    theirs. Spare fragments make that rare (about one set in a thousand), never wrong; SURPLUS more of them allow each set
+    to leave out its most crowded segments (see `signatures`)."""
     weak = 2 if percent >= 85 else 1
     least, most = _level_start(level, percent), _level_start(level + 1, percent) - 1
     differ = most * (100 - percent) // percent
@@ -102,38 +106,42 @@ def segment_plan(level: int, percent: int) -> tuple[int, int, int]:
         fragments = differ + spare
         mean = least / fragments
         expect = fragments * math.exp(-mean) * (1 + mean * (weak - 1))
-        if expect + 3 * math.sqrt(expect) + 1 < spare:
+        if expect + 3 * math.sqrt(expect) + 1 + SURPLUS < spare:
             break
-        spare += 1
+        spare += 1 + spare // 50
     return differ + spare, differ, weak
 
 
-def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
-    """The set's segment signatures at its level, and at the one below if a partner may be there."""
-    n, out = len(grams), []
-    if not n:
-        return grams
+def signatures(grams: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[int]]:
+    """The set's segment signatures at its level and at the one below if a partner may be there, and for each of the two
+    how many may be left out.
+
+    Of `spare` equal segments at least, those that are weak are so in both sets; with w weak ones here, spare - w usable
+    ones are equal. If each of two sets leaves out less than half of that number, whichever, one is left in both."""
+    n, out, spared = len(grams), [], []
     level = 0
-    while _level_start(level + 1, percent) <= n:
+    while n and _level_start(level + 1, percent) <= n:
         level += 1
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(grams + _ODD[3]))))
     for at in (level, level - 1):
-        if at < 0 or (at < level and -(-percent * n // 100) >= _level_start(level, percent)):
-            continue
-        fragments, differ, weak = segment_plan(at, percent)
-        if not differ:  # only equal sets link
+        fragments, differ, weak = segment_plan(at, percent) if n and at >= 0 else (0, 0, 0)
+        if not differ or (at < level and -(-percent * n // 100) >= _level_start(level, percent)):  # without differences only equal sets link
+            out.append(np.empty(0, np.uint64))
+            spared.append(0)
             continue
         number = ((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
         ends = np.searchsorted(number, np.arange(fragments + 1, dtype=np.uint64))
         size = np.diff(ends)
         use = size >= weak
-        if fragments - use.sum() >= fragments - differ:
+        equal = fragments - differ - int((~use).sum())
+        if equal <= 0:
             use[:] = True
         where = np.flatnonzero(use)
         segment = sums[ends[where + 1]] - sums[ends[where]]
         tag = where.astype(np.uint64) * _ODD[1] + size[where].astype(np.uint64) * _ODD[2] + np.uint64(at + 1)
         out.append(_mix(_mix(tag) + segment * _ODD[0]))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        spared.append(max(0, (equal - 1) // 2))
+    return out, spared
 
 
 def _key(grams: np.ndarray) -> bytes | None:
@@ -146,11 +154,13 @@ def _signed(n: int, percent: int):
     def make():
         def fn(cols: dict) -> dict:
             sets = [gram_set(t, n) for t in cols["text"]]
+            found = [signatures(s, percent) for s in sets]
             return {
                 "doc_id": cols["doc_id"],
                 "n_shingles": [len(s) for s in sets],
                 "key": [_key(s) for s in sets],
-                "segments": [signatures(s, percent).view(np.int64) for s in sets],
+                "segments": [np.concatenate(f).view(np.int64) for f, _ in found],
+                "spared": [[len(f[0]), *t] for f, t in found],
             }
 
         return fn
@@ -158,8 +168,35 @@ def _signed(n: int, percent: int):
     return make
 
 
-def _filter_bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return hashes % FILTER_BITS, (hashes >> 32) % FILTER_BITS
+def _filter_of(table: DataFrame, hashes):
+    """A broadcast filter of fixed size that holds all the hashes, and a few others."""
+    bit = F.explode(F.array(F.pmod(hashes, F.lit(FILTER_BITS)), F.pmod(F.shiftright(hashes, 32), F.lit(FILTER_BITS))))
+    found = table.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return table.sparkSession.sparkContext.broadcast(words)
+
+
+def _passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    a, b = hashes % FILTER_BITS, (hashes >> 32) % FILTER_BITS
+    return ((words[a >> 6] >> (a & 63)) & (words[b >> 6] >> (b & 63)) & 1) == 1
+
+
+def _shared_segments(words):
+    """For mapInArrow: (d, level, spared, segment) of the segments that pass the filter; level tells a set's two apart."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            segments, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            keep = np.flatnonzero(_passes(words.value, segments))
+            row = np.searchsorted(ends - ends[0], keep, "right") - 1
+            spared = batch.column(2).flatten().to_numpy().reshape(-1, 3)[row]
+            below = (keep - (ends - ends[0])[row] >= spared[:, 0]).astype(np.int32)
+            most = np.where(below == 1, spared[:, 2], spared[:, 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(below), pa.array(most), pa.array(segments[keep])], names=["d", "level", "spared", "segment"])
+
+    return run
 
 
 def _gram_sets(n: int, words):
@@ -169,11 +206,7 @@ def _gram_sets(n: int, words):
     def run(batches):
         bits = words.value
         for batch in batches:
-            a, b = _filter_bits(batch.column(2).to_numpy())
-            hit = (bits[a >> 6] >> (a & 63) & 1) & (bits[b >> 6] >> (b & 63) & 1)
-            part = batch.filter(pa.array(hit == 1))
-            for first in range(0, part.num_rows, 1024):
-                rows = part.slice(first, 1024)
+            for rows in small_slices(batch.filter(pa.array(_passes(bits, batch.column(2).to_numpy())))):
                 sets = [gram_set(t, n) for t in rows.column(1).to_pylist()]
                 cuts = [np.split(s, np.searchsorted(s, edges)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -184,17 +217,15 @@ def _gram_sets(n: int, words):
     return run
 
 
-def member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(d, n, parts) of the members (rep, key, d): the n-gram set of each, by global fragment."""
-    h, spark = F.xxhash64("rep"), docs.sparkSession
-    bit = F.explode(F.array(F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS))))
-    found = members.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    wanted = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sets = wanted.mapInArrow(_gram_sets(n, spark.sparkContext.broadcast(words)), "doc_id long, key binary, n long, parts array<binary>")
+def with_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """rows (with d), each with n and parts, the n-gram set of its class by global fragment.
+
+    Sets are made anew each time they are needed, for the documents in rows only: they are larger than the texts."""
+    wanted = cut(rows.join(classes.select("d", F.col("rep").alias("doc_id"), "key"), "d"), "wanted")
+    texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    sets = texts.mapInArrow(_gram_sets(n, _filter_of(wanted, F.xxhash64("doc_id"))), "doc_id long, key binary, n long, parts array<binary>")
     sets = sets.groupBy("doc_id", "key").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))  # repeated rows
-    return sets.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"]).select("d", "n", "parts")
+    return sets.join(wanted, ["doc_id", "key"]).drop("doc_id", "key")
 
 
 def _partial_overlaps(batches):
@@ -229,11 +260,11 @@ def _partial_overlaps(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (p, pn, d, n, common)], names=["p", "pn", "d", "n", "common"])
 
 
-def measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def measure(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """pairs (p, d, chunk) -> p, d, n (the size of d), linked, far (Jaccard distance), band (distance in units of that up
     to which sets link): partial overlaps of each global fragment, summed per pair."""
     both = pairs.select("p", "chunk", F.lit(1).alias("member"), "d").union(pairs.select("p", "chunk").distinct().select("p", "chunk", F.lit(0), "p"))
-    rows = both.join(sets, "d").select("p", "chunk", "member", "d", "n", F.posexplode("parts").alias("f", "grams")).where("f = 0 or length(grams) > 0")
+    rows = with_sets(docs, both, classes, n).select("p", "chunk", "member", "d", "n", F.posexplode("parts").alias("f", "grams")).where("f = 0 or length(grams) > 0")
     dealt = rows.select("p", "f", "chunk", "member", "d", "n", "grams").repartition("p", "f", "chunk").sortWithinPartitions("p", "f", "chunk", "member")
     counted = dealt.mapInArrow(_partial_overlaps, "p long, pn long, d long, n long, common long").groupBy("p", "d")
     summed = counted.agg(F.max("pn").alias("pn"), F.max("n").alias("n"), F.sum("common").alias("common")).withColumn("all", F.expr("pn + n - common"))
@@ -294,24 +325,26 @@ def _block_links(percent: int):
     return run
 
 
-def _links(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(docs: DataFrame, star: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(src, dst) that span every component of links between documents of a group; star: (p, d, chunk)."""
-    first = cut(measure(star, sets, percent), "first")
+    first = cut(measure(docs, star, classes, n, percent), "first")
     near = F.min(F.struct("far", "d", "linked"))
     groups = first.groupBy("p").agg(F.count("*").alias("rows"), F.sum((~F.col("linked")).cast("long")).alias("open"), near.alias("near"))
     groups = cut(groups.where("open > 0 and rows > 1").select("p", "rows", F.col("near.d").alias("b"), F.col("near.linked").alias("joined")), "groups")
     members = cut(spread_join(first, groups, ["p"]).where("d <> b"), "group_members")
     chunk = F.expr(f"pmod(xxhash64(d), 1 + rows div {CHUNK})")
-    second = cut(measure(members.select(F.col("b").alias("p"), "d", chunk.alias("chunk")).groupBy("p", "d").agg(F.min("chunk").alias("chunk")), sets, percent), "second")
+    again = members.select(F.col("b").alias("p"), "d", chunk.alias("chunk")).groupBy("p", "d").agg(F.min("chunk").alias("chunk"))
+    second = cut(measure(docs, again, classes, n, percent), "second")
     both = members.join(second.select(F.col("p").alias("b"), "d", F.col("linked").alias("also"), F.col("band").alias("band2")), ["b", "d"])
     placed = cut(both.select("p", "d", "n", "band", "band2", F.expr("not (also or (joined and linked))").alias("open")), "placed")
-    # sets link only if their bands differ by one at most, so such pairs share one of the cells that each row enters
+    # sets link only if their bands differ by one at most, so such pairs share one of the cells that each row enters: that
+    # of the smaller band of the two in each direction
     reach = F.explode(F.array(*[F.struct((F.col("band") - i).alias("i"), (F.col("band2") - j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    entered = placed.select("p", "d", "n", "open", reach.alias("at")).select("p", "at.i", "at.j", "d", "n", "open")
-    cells = entered.groupBy("p", "i", "j").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"), F.sum(F.expr("cast(open as long)")).alias("few"), F.sum(F.expr("if(open, n, 0)")).alias("few_grams"))
+    entered = placed.select("p", "d", "n", "open", "band", "band2", reach.alias("at")).select("p", "at.i", "at.j", "d", "n", "open", "band", "band2")
+    cells = entered.groupBy("p", "i", "j").agg(F.min("band").alias("low"), F.min("band2").alias("low2"), F.count("*").alias("rows"), F.sum("n").alias("grams"), F.sum(F.expr("cast(open as long)")).alias("few"), F.sum(F.expr("if(open, n, 0)")).alias("few_grams"))
     size = "cast(greatest(ceil({} / {}), ceil({} / {})) as int)"
     cells = cut(
-        cells.where("few > 0 and rows > 1").select("p", "i", "j", "rows", F.expr(size.format("few", OPEN, "few_grams", BLOCK_GRAMS)).alias("q"), F.expr(size.format("rows", CHUNK, "grams", BLOCK_GRAMS)).alias("c")),
+        cells.where("few > 0 and rows > 1 and low = i and low2 = j").select("p", "i", "j", "rows", F.expr(size.format("few", OPEN, "few_grams", BLOCK_GRAMS)).alias("q"), F.expr(size.format("rows", CHUNK, "grams", BLOCK_GRAMS)).alias("c")),
         "cells",
     )
     met = spread_join(entered, cells, ["p", "i", "j"])
@@ -319,7 +352,7 @@ def _links(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     few = met.where("open").select("p", "i", "j", F.expr("pmod(xxhash64(d), q)").alias("at_q"), F.explode(F.expr("sequence(0, c - 1)")).alias("at_c"), F.lit(0).alias("member"), "d")
     many = met.select("p", "i", "j", F.explode(F.expr("sequence(0, q - 1)")).alias("at_q"), F.expr("pmod(xxhash64(d, 1), c)").alias("at_c"), F.lit(1).alias("member"), "d")
     blocks = few.select(*[F.col(k).cast("long") for k in block], "member", "d").union(many.select(*[F.col(k).cast("long") for k in block], "member", "d"))
-    dealt = blocks.join(sets, "d").select(*block, "member", "d", "n", "parts").repartition(*block).sortWithinPartitions(*block)
+    dealt = with_sets(docs, blocks, classes, n).select(*block, "member", "d", "n", "parts").repartition(*block).sortWithinPartitions(*block)
     rest = dealt.mapInArrow(_block_links(percent), "src long, dst long")
     linked = [t.where("linked").select(F.col("p").alias("src"), F.col("d").alias("dst")) for t in (first, second)]
     return linked[0].union(linked[1]).union(rest)
@@ -333,25 +366,32 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     are one node, whatever their texts: each text links for it. A null doc_id stays a row of its own: its component is
     that of its copies with an id, or null. Other columns of docs are not read; an empty table gives an empty result."""
     docs = texts_of(docs)
-    signed = cut(map_columns(docs, _signed(n, percent), "doc_id long, n_shingles long, key binary, segments array<long>"), "signed")
+    wide = cut(map_columns(docs, _signed(n, percent), "doc_id long, n_shingles long, key binary, segments array<long>, spared array<long>"), "wide")
+    signed = cut(wide.drop("segments", "spared"), "signed")
     code = F.xxhash64("key")
     many = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(code).alias("a"), F.max(code).alias("b"))  # a null key has a code of its own
     mixed = cut(many.where("a <> b").select("doc_id", "rows"), "mixed")
-    classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("segments").alias("segments"))
+    classes = wide.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("segments").alias("segments"), F.first("spared").alias("spared"))
     node = F.when(F.col("several"), F.monotonically_increasing_id() + F.lit(_EXTRA)).otherwise(F.col("rep"))
     classes = classes.join(mixed.select(F.col("doc_id").alias("rep"), F.lit(True).alias("several")), "rep", "left")
-    classes = cut(classes.select("key", "rep", "rows", node.alias("d"), "segments"), "classes")
-    postings = classes.where("d is not null").select("d", F.explode("segments").alias("segment"))
-    pivots = postings.groupBy("segment").agg(F.min("d").alias("p"), F.max("d").alias("last"), F.count("*").alias("rows")).where("p <> last")
-    pivots = cut(pivots.select("segment", "p", "rows"), "pivots")
+    nodes = cut(classes.select("key", "rep", "rows", node.alias("d"), "segments", "spared"), "nodes")
+    discard(wide)
+    classes = cut(nodes.drop("segments", "spared"), "classes")
+    listed = nodes.where("d is not null").select("d", "segments", "spared")
+    crowds = listed.select("d", F.explode("segments").alias("segment")).groupBy("segment").agg(F.count("*").alias("rows")).where("rows > 1")
+    crowds = cut(crowds, "crowds")
+    postings = listed.mapInArrow(_shared_segments(_filter_of(crowds, F.col("segment"))), "d long, level int, spared long, segment long")
+    postings = spread_join(postings, crowds, ["segment"])
+    by_crowd = Window.partitionBy("d", "level").orderBy(F.desc("rows"), "segment")  # one set's segments
+    postings = cut(postings.withColumn("at", F.row_number().over(by_crowd)).where("at > spared").select("d", "segment"), "postings")
+    pivots = cut(postings.groupBy("segment").agg(F.min("d").alias("p"), F.count("*").alias("rows")).where("rows > 1"), "pivots")
     star = spread_join(postings, pivots, ["segment"]).where("d <> p").select("p", "d", F.expr(f"pmod(xxhash64(d), 1 + rows div {CHUNK})").alias("chunk"))
     star = cut(star.groupBy("p", "d").agg(F.min("chunk").alias("chunk")), "star")
-    wanted = star.select("d").union(star.select("p")).distinct()
-    members = cut(classes.select("rep", "key", "d").join(wanted, "d"), "members")
-    sets = cut(member_sets(docs, members, n), "sets")
+    discard(nodes, crowds, postings, pivots)
     named = signed.where("key is not null").select("doc_id", "key").join(mixed.select("doc_id"), "doc_id").distinct()
     edges = named.join(classes.select("key", "d"), "key").select(F.col("doc_id").alias("src"), F.col("d").alias("dst"))
-    components = cut(connected_components(_links(star, sets, percent).union(edges)), "components")
+    components = cut(connected_components(_links(docs, star, classes, n, percent).union(edges)), "components")
+    discard(star)
     lowest = components.withColumnRenamed("node", "d")
     found = cut(classes.select("key", "rows", "d").join(lowest, "d", "left").select("key", "rows", F.coalesce("component", "d").alias("component_id")), "found")
     worded = spread_join(signed.where("key is not null").select("doc_id", "n_shingles", "key"), found, ["key"])

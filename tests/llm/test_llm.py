@@ -617,6 +617,21 @@ def test_segments_differ_less_than_fragments():
             assert fragments > differ >= 0
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_segments_beyond_those_left_out(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(400):
+        n = int(rng.choice([3, 8, 20, 60, 200, 700]))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        gone = int(rng.integers(0, max(1, n * (100 - percent) // 100) + 1))
+        b = np.unique(np.concatenate((a[rng.permutation(len(a))[gone:]], rng.integers(0, 2**63, int(rng.integers(0, gone + 1))).astype(np.uint64))))
+        common = len(np.intersect1d(a, b))
+        if 100 * common < percent * (len(a) + len(b) - common) or np.array_equal(a, b):
+            continue
+        (x, s), (y, t) = ngram_join.signatures(a, percent), ngram_join.signatures(b, percent)
+        assert any(len(np.intersect1d(p, q)) > u + v for p, u in zip(x, s, strict=True) for q, v in zip(y, t, strict=True))
+
+
 # 10 byte-level BPE
 
 
