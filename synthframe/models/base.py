@@ -73,6 +73,9 @@ class Synthesizer:
         for name, t in self.tables.items():
             t.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
+    def load_parts(self, folder: str) -> None:
+        """What a model keeps beside its state and tables."""
+
     def parameters(self) -> dict:
         return {k: v for k, v in vars(self).items() if k not in ("state", "tables", "spark") and isinstance(v, (int, float, str, bool, type(None)))}
 
@@ -88,6 +91,7 @@ def load_model(spark: SparkSession, folder: str) -> Synthesizer:
     model = create(facts["model"], **facts["parameters"])
     model.spark, model.state = spark, facts["state"]
     model.tables = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in facts["tables"]}
+    model.load_parts(folder)
     return model
 
 

@@ -66,25 +66,25 @@ class CartChain(Synthesizer):
                 rows = self.trees[c].transform(VectorAssembler(inputCols=inputs, outputCol="_f").transform(rows)).select(*[f"`{k}`" for k in kept], "_leaf")
             else:
                 rows = rows.withColumn("_leaf", F.lit(0.0))
-            leaf = self.tables[f"leaf{at}"].withColumnRenamed("_leaf", "_l")
+            leaf = self.tables[f"leaf{at}"].select(F.col("_leaf").alias("_l"), "lo", "hi", F.col("value").alias(c), F.col("x").alias(f"_x{names.index(c)}"))
             u = uniform(seed + at, F.col("id"))
             hit = (F.col("_leaf") == F.col("_l")) & (F.col("_u") >= F.col("lo")) & ((F.col("_u") < F.col("hi")) | (F.col("hi") >= 1 - 1e-12))
             drawn = rows.withColumn("_u", u).join(leaf, hit, "left").dropDuplicates(["id"])
-            rows = drawn.withColumnsRenamed({"value": c, "x": f"_x{names.index(c)}"}).drop("_leaf", "_l", "lo", "hi", "_u")
+            rows = drawn.drop("_leaf", "_l", "lo", "hi", "_u")
             rows = cut(rows.fillna({f"_x{names.index(c)}": 0.0}), "chain")
         return rows
 
     def save(self, folder: str) -> None:
+        self.state["regressed"] = sorted(c for c, tree in self.trees.items() if isinstance(tree, DecisionTreeRegressionModel))
         super().save(folder)
         for c, tree in self.trees.items():
             tree.write().overwrite().save(f"{folder}/tree{self.state['columns'].index(c)}")
 
-    def load_trees(self, folder: str) -> None:
-        numbers = {c for c, t in self.state["types"].items() if t not in ("string", "boolean")}
+    def load_parts(self, folder: str) -> None:
         self.trees = {}
         for c in self.state["order"][1:]:
-            path = f"{folder}/tree{self.state['columns'].index(c)}"
-            self.trees[c] = (DecisionTreeRegressionModel if c in numbers else DecisionTreeClassificationModel).load(path)
+            kind = DecisionTreeRegressionModel if c in self.state["regressed"] else DecisionTreeClassificationModel
+            self.trees[c] = kind.load(f"{folder}/tree{self.state['columns'].index(c)}")
 
 
 class PrivateCartChain(CartChain):

@@ -40,8 +40,11 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, accuracy: i
     takes a bounded sketch instead."""
     columns = columns or numeric_columns(df)
 
+    shares = (0.25, 0.5, 0.75)
+
     def quantile(p: float):
-        return lambda c: F.percentile_approx(_q(c), p, accuracy) if accuracy else F.percentile(_q(c).cast("double"), F.lit(p))
+        at, k = F.array(*map(F.lit, shares)), shares.index(p)  # one aggregate for all three
+        return lambda c: (F.percentile_approx(_q(c), at, accuracy) if accuracy else F.percentile(_q(c).cast("double"), at))[k]
 
     facts = {
         "n": lambda c: F.count(_q(c)),

@@ -218,7 +218,7 @@ def resplit_validation(spark, sf_dir):
     return split.resplit_validation(df, "o_orderstatus", ["o_orderkey"]).select("o_orderkey", "split")
 
 
-@query(f"select c_custkey from customer order by {_H('c_custkey', seed=0)}, c_custkey limit 150")
+@query(f"select c_custkey from customer order by {_H('c_custkey', seed=0)}, c_custkey limit (select least(cast(floor(count(*) * 0.1) as int), 1000) from customer)")
 def subsample(spark, sf_dir):
     return split.subsample(table(spark, sf_dir, "customer"), ["c_custkey"], 0.1).select("c_custkey")
 

@@ -136,11 +136,12 @@ def categorical_strings(spark, sf_dir):
     return infer.categorical_strings(table(spark, sf_dir, "part"))
 
 
-@query("""select distinct 'p_type' as "column", p_type as value from part a where p_partkey % 97 = 0 and not exists (select 1 from part b where b.p_partkey % 3 = 1 and b.p_type = a.p_type)
-union all select distinct 'p_brand', p_brand from part a where p_partkey % 97 = 0 and not exists (select 1 from part b where b.p_partkey % 3 = 1 and b.p_brand = a.p_brand)""")
+@query("""select distinct 'p_name' as "column", p_name as value from part a where p_partkey % 7 = 0 and not exists (select 1 from part b where b.p_partkey % 50 = 1 and b.p_name = a.p_name)
+union all select distinct 'p_brand', p_brand from part a where p_partkey % 7 = 0 and not exists (select 1 from part b where b.p_partkey % 50 = 1 and b.p_brand = a.p_brand)""")
 def unseen_categories(spark, sf_dir):
+    """Two parts of the table stand for training and test rows."""
     df = table(spark, sf_dir, "part")
-    return infer.unseen_categories(df.where("p_partkey % 3 = 1"), df.where("p_partkey % 97 = 0"), ["p_type", "p_brand"])
+    return infer.unseen_categories(df.where("p_partkey % 50 = 1"), df.where("p_partkey % 7 = 0"), ["p_name", "p_brand"])
 
 
 def _down(c, old):

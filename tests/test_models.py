@@ -92,3 +92,12 @@ def test_task_reports_failures(spark, people, tmp_path):
     folder = "file://" + str(tmp_path)
     assert run_task(spark, "people", people, "marginals", {}, 30, folder)["rows"] == 30
     assert run_task(spark, "people", people, "nope", {}, 30, folder)["status"] == "failed"
+
+
+@pytest.mark.parametrize("name", ["cart", "private_cart"])
+def test_loaded_trees_draw_what_the_fitted_ones_do(spark, tmp_path, name):
+    rows = spark.createDataFrame([(i % 5 * 1.5, f"level {i % 150}", "ab"[i % 2]) for i in range(600)], "x double, many string, few string")
+    model = models.create(name, seed=4).fit(rows)
+    model.save(str(tmp_path / name))
+    loaded = load_model(spark, str(tmp_path / name))
+    assert sorted(map(tuple, loaded.sample(60).collect())) == sorted(map(tuple, model.sample(60).collect()))
