@@ -46,5 +46,17 @@ def hash_fraction_sql(*columns: str, seed: int = 0) -> str:
     return f"(cast(('0x' || substr(md5({text}), 1, 8)) as bigint) / cast(4294967296 as double))"
 
 
+def hash_pick(*columns: str, seed: int = 0) -> Column:
+    """A whole number in [0, 2^60) from md5 of the columns' text, the same in every engine; pmod makes it a row number."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def hash_pick_sql(*columns: str, seed: int = 0) -> str:
+    """The same in DuckDB SQL."""
+    text = " || '|' || ".join([f"'{seed}'", *[f"coalesce(cast({c} as varchar), '')" for c in columns]])
+    return f"cast(('0x' || substr(md5({text}), 1, 15)) as bigint)"
+
+
 def safe_divide(a: Column, b: Column, default: float | None = None) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(default).cast("double"))

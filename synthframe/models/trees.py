@@ -8,10 +8,11 @@ from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import hash_pick
 from ..operators.encode import label_codes, level_table
 from ..operators.metrics import dependency_order, mutual_information
 from ..operators.profile import numeric_columns
-from ..operators.sample import uniform
+from ..operators.sample import draw_weighted, uniform, weighted_slots
 from ..session import cut
 from .base import Discretizer, Synthesizer, register
 
@@ -48,10 +49,9 @@ class CartChain(Synthesizer):
                 tree = kind(featuresCol="_f", labelCol=y, leafCol="_leaf", maxDepth=self.depth, minInstancesPerNode=self.least, seed=self.seed).fit(features)
                 self.trees[c] = tree
                 leafed = tree.transform(features)
-            counts = self._leaf_counts(leafed.groupBy("_leaf", F.col(f"`{c}`").alias("value"), F.col(f"_x{names.index(c)}").alias("x")).agg(F.count("*").cast("double").alias("n")), c)
-            whole = Window.partitionBy("_leaf")
-            order = whole.orderBy(F.col("x"), F.col("value").asc_nulls_first())
-            self.tables[f"leaf{at}"] = cut(counts.select("_leaf", "value", "x", ((F.sum("n").over(order) - F.col("n")) / F.sum("n").over(whole)).alias("lo"), (F.sum("n").over(order) / F.sum("n").over(whole)).alias("hi")), "leaf")
+            counts = leafed.groupBy("_leaf", F.col(f"`{c}`").alias("value"), F.col(f"_x{names.index(c)}").alias("x")).agg(F.count("*").alias("n"))
+            sizes, slots = weighted_slots(cut(self._leaf_counts(counts, c), "counts"), ["_leaf"])
+            self.tables[f"size{at}"], self.tables[f"leaf{at}"] = cut(sizes, "size"), cut(slots, "leaf")
 
     def _leaf_counts(self, counts: DataFrame, column: str) -> DataFrame:
         return counts
@@ -66,12 +66,9 @@ class CartChain(Synthesizer):
                 rows = self.trees[c].transform(VectorAssembler(inputCols=inputs, outputCol="_f").transform(rows)).select(*[f"`{k}`" for k in kept], "_leaf")
             else:
                 rows = rows.withColumn("_leaf", F.lit(0.0))
-            leaf = self.tables[f"leaf{at}"].select(F.col("_leaf").alias("_l"), "lo", "hi", F.col("value").alias(c), F.col("x").alias(f"_x{names.index(c)}"))
-            u = uniform(seed + at, F.col("id"))
-            hit = (F.col("_leaf") == F.col("_l")) & (F.col("_u") >= F.col("lo")) & ((F.col("_u") < F.col("hi")) | (F.col("hi") >= 1 - 1e-12))
-            drawn = rows.withColumn("_u", u).join(leaf, hit, "left").dropDuplicates(["id"])
-            rows = drawn.drop("_leaf", "_l", "lo", "hi", "_u")
-            rows = cut(rows.fillna({f"_x{names.index(c)}": 0.0}), "chain")
+            leaf = self.tables[f"leaf{at}"].withColumnsRenamed({"value": "_value", "x": f"_x{names.index(c)}"})
+            drawn = draw_weighted(rows.withColumn("_pick", hash_pick("id", seed=seed + at)), self.tables[f"size{at}"], leaf, ["_leaf"])
+            rows = cut(drawn.drop("_leaf").withColumnRenamed("_value", c).fillna({f"_x{names.index(c)}": 0.0}), "chain")
         return rows
 
     def save(self, folder: str) -> None:
@@ -97,9 +94,9 @@ class PrivateCartChain(CartChain):
 
     def _leaf_counts(self, counts: DataFrame, column: str) -> DataFrame:
         u = uniform(self.seed + 53, F.lit(column), "_leaf", "x") - 0.5
-        noisy = counts.withColumn("n", F.col("n") - F.signum(u) * F.ln(1 - 2 * F.abs(u)) * len(self.state["columns"]) / self.epsilon)
+        noisy = counts.withColumn("n", F.col("n").cast("double") - F.signum(u) * F.ln(1 - 2 * F.abs(u)) * len(self.state["columns"]) / self.epsilon)
         most = F.max("n").over(Window.partitionBy("_leaf"))
-        return noisy.withColumn("_most", most).where((F.col("n") >= 1) | (F.col("n") == F.col("_most"))).withColumn("n", F.greatest(F.lit(1.0), "n")).drop("_most")
+        return noisy.withColumn("_most", most).where((F.col("n") >= 1) | (F.col("n") == F.col("_most"))).withColumn("n", F.greatest(F.lit(1), F.rint("n").cast("long"))).drop("_most")
 
 
 register("cart", CartChain)
