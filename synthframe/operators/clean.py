@@ -132,3 +132,44 @@ def most_frequent_by_group(df: DataFrame, group: str, column: str) -> DataFrame:
     counts = df.groupBy(group, column).count()
     order = Window.partitionBy(group).orderBy(F.desc("count"), column)
     return counts.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "count")
+
+
+def labelled_rows(df: DataFrame, label: str, value: str = "train") -> DataFrame:
+    """The rows that carry the label, without its column."""
+    return df.where(_q(label) == value).drop(label)
+
+
+def drop_invalid(df: DataFrame, columns: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
+    """Rows of a generated table without NULL or NaN numbers; strict raises if there are any."""
+    bad = F.lit(False)
+    for c in columns or numeric_columns(df):
+        bad = bad | _q(c).isNull() | F.isnan(_q(c).cast("double"))
+    if strict and df.where(bad).limit(1).count():
+        raise ValueError("the generated table has missing numbers")
+    return df.where(~bad)
+
+
+def cast_parsed(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """Texts as the types of a schema: what doesn't parse is 0 in whole types and NULL in floats; fractions are cut off."""
+    out = {}
+    for c, t in types.items():
+        if t in ("tinyint", "smallint", "int", "bigint"):
+            out[c] = F.coalesce(_q(c).cast("string").try_cast("double").try_cast(t), F.lit(0).cast(t))
+        elif t in ("float", "double"):
+            out[c] = _q(c).cast("string").try_cast(t)
+        else:
+            out[c] = _q(c).cast(t)
+    return df.withColumns(out)
+
+
+def split_blocks(df: DataFrame, key: str, blocks: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """A table as blocks of columns (numeric, categorical, target, or any), each with the row key."""
+    return {name: df.select(_q(key), *[_q(c) for c in columns]) for name, columns in blocks.items()}
+
+
+def recombine(blocks: Sequence[DataFrame], key: str, order: Sequence[str]) -> DataFrame:
+    """Blocks that share a row key as one table, its columns in the source's order."""
+    rows = blocks[0]
+    for b in blocks[1:]:
+        rows = rows.join(b, key)
+    return rows.select(*[_q(c) for c in order])

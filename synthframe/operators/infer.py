@@ -124,3 +124,56 @@ def apply_downcast(df: DataFrame) -> DataFrame:
     """df with the types of downcast_types (strings stay strings; Spark encodes repeated ones by itself)."""
     new = {r["column"]: r["new"] for r in downcast_types(df).collect() if r["new"] not in ("category", "string")}
     return df.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in new.items()}) if new else df
+
+
+def _role_rules() -> dict:
+    """Rule name -> role, of role_facts: n_distinct counts NULL, n_values doesn't."""
+    text, whole = F.col("is_text"), F.col("is_whole")
+    return {
+        # text is binary or categorical, whole numbers also where they have few values, all else is numeric
+        "typed": F.when(text, F.when(F.col("n_distinct") == 2, "binary").otherwise("categorical"))
+        .when(whole & (F.col("n_distinct") == 2), "binary")
+        .when(whole & F.col("n_distinct").between(3, 25), "categorical")
+        .otherwise("numeric"),
+        # text, and whole numbers of 2 to 25 values
+        "few_whole": F.when(text | (whole & F.col("n_values").between(2, 25)), "categorical").otherwise("numeric"),
+        # text, and anything of 2 to 20 values
+        "few_any": F.when(text | F.col("n_values").between(2, 20), "categorical").otherwise("numeric"),
+    }
+
+
+def roles_by_rules(df: DataFrame) -> DataFrame:
+    """column, rule, role: each of the rules typed, few_whole and few_any on each column; a row each, so that one can be chosen."""
+    kinds = {f.name: f.dataType for f in df.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))}
+    facts = {
+        "n_distinct": lambda c: distinct_count(c, nulls=True),
+        "n_values": distinct_count,
+        "is_text": lambda c: F.lit(isinstance(kinds[c], T.StringType)),
+        "is_whole": lambda c: F.lit(isinstance(kinds[c], T.IntegralType)),
+    }
+    rows = column_facts(df, facts, list(kinds), {"n_distinct": "long", "n_values": "long", "is_text": "boolean", "is_whole": "boolean"})
+    return rows.select("column", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("role")) for k, v in _role_rules().items()])).alias("r")).select("column", "r.*")
+
+
+def tasks_by_rules(df: DataFrame, targets: list[str], few: int = 20, share: float = 0.05) -> DataFrame:
+    """target, rule, task of several candidate targets, from one aggregate. NULL is no value.
+
+    type: numbers (and booleans) are regression. few: numbers of more than `few` values are. share: floats, and whole
+    numbers of more than max(few, share of the rows) values, are. What isn't is binclass up to two values, else multiclass;
+    by type, exactly two."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    facts = {
+        "n_rows": lambda c: F.count(F.lit(1)),
+        "n_values": distinct_count,
+        "is_number": lambda c: F.lit(isinstance(kinds[c], (T.NumericType, T.BooleanType))),
+        "is_whole": lambda c: F.lit(isinstance(kinds[c], T.IntegralType)),
+        "is_float": lambda c: F.lit(isinstance(kinds[c], T.FractionalType)),
+    }
+    rows = column_facts(df, facts, targets, {"n_rows": "long", "n_values": "long"} | {k: "boolean" for k in ("is_number", "is_whole", "is_float")})
+    k, classes = F.col("n_values"), F.when(F.col("n_values") <= 2, "binclass").otherwise("multiclass")
+    rules = {
+        "type": F.when(F.col("is_number"), "regression").when(k == 2, "binclass").otherwise("multiclass"),
+        "few": F.when(F.col("is_number") & (k > few), "regression").otherwise(classes),
+        "share": F.when(F.col("is_float") | (F.col("is_whole") & (k > F.greatest(F.lit(float(few)), share * F.col("n_rows")))), "regression").otherwise(classes),
+    }
+    return rows.select(F.col("column").alias("target"), F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), v.alias("task")) for n, v in rules.items()])).alias("r")).select("target", "r.*")

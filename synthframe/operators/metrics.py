@@ -242,3 +242,60 @@ def marginals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return contingency(df, columns).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("a", "b")))
 
 
+
+
+def score_parts(df: DataFrame, part: str, truth: str, predicted: str, task: str) -> DataFrame:
+    """part, metric, score: higher is better whatever the task, so accuracy for classes and minus rmse for regression."""
+    if task == "regression":
+        error = _q(truth).cast("double") - _q(predicted).cast("double")
+        return df.groupBy(_q(part).alias("part")).agg(F.lit("rmse").alias("metric"), (-F.sqrt(F.avg(error * error))).alias("score"))
+    hit = _q(truth).eqNullSafe(_q(predicted)).cast("double")
+    return df.groupBy(_q(part).alias("part")).agg(F.lit("accuracy").alias("metric"), F.avg(hit).alias("score"))
+
+
+def rank_runs(runs: DataFrame) -> DataFrame:
+    """Of (model, success, duration): model, n_runs, success_rate, duration (mean of its successful runs), rank (from 1, the
+    fastest first, ties by name; NULL for a model without a success)."""
+    by = runs.groupBy("model").agg(F.count("*").alias("n_runs"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg(F.when(F.col("success"), F.col("duration"))).alias("duration"))
+    order = Window.orderBy(F.col("duration").asc_nulls_last(), "model")  # one row a model
+    return by.withColumn("rank", F.when(F.col("duration").isNotNull(), F.row_number().over(order)))
+
+
+def table_quality(real: DataFrame, synthetic: DataFrame, train: DataFrame) -> DataFrame:
+    """columns_match (as sets), types_preserved (columns of real that keep their type), n_real, n_synthetic, n_train,
+    train_ratio, n_categorical."""
+    kept = dict(synthetic.dtypes)
+    counts = [d.agg(F.count(F.lit(1)).alias(n)) for d, n in ((real, "n_real"), (synthetic, "n_synthetic"), (train, "n_train"))]
+    row = counts[0].join(F.broadcast(counts[1]), F.lit(True)).join(F.broadcast(counts[2]), F.lit(True))  # one row each
+    return row.select(
+        F.lit(set(real.columns) == set(synthetic.columns)).alias("columns_match"),
+        F.lit(sum(kept.get(c) == t for c, t in real.dtypes)).cast("long").alias("types_preserved"),
+        "n_real",
+        "n_synthetic",
+        "n_train",
+        F.try_divide("n_train", "n_real").alias("train_ratio"),
+        F.lit(sum(t in ("string", "boolean") for _, t in real.dtypes)).cast("long").alias("n_categorical"),
+    )
+
+
+def imputation_scores(truth: DataFrame, trials: DataFrame, key: str, value: str) -> DataFrame:
+    """micro_f1, micro_auc of several imputations (key, value a trial) against the truth (key, value); the classes are those
+    of the truth, and rows without a trial or a true value aren't scored.
+
+    A row's probabilities are its trials' shares; the largest is its prediction, ties to the smaller class. The area is that
+    over all (row, class) cells; those that no trial names and that aren't true are counted, not made."""
+    t = truth.where(_q(value).isNotNull()).select(_q(key).alias("k"), _text(value).alias("v"))
+    classes = t.select("v").distinct()
+    votes = trials.select(_q(key).alias("k"), _text(value).alias("v")).join(classes, "v", "left_semi").groupBy("k", "v").agg(F.count("*").alias("n"))
+    shares = votes.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("k"))).join(t.withColumnRenamed("v", "true"), "k")
+    rows = shares.groupBy("k", "true").agg(F.sum(F.when(F.col("v") == F.col("true"), F.col("p")).otherwise(0.0)).alias("own"), F.count("*").alias("cells"), F.min_by("v", F.struct(-F.col("p"), F.col("v"))).alias("best"))
+    rows = rows.withColumn("hit", (F.col("best") == F.col("true")).cast("double"))
+    facts = rows.agg(F.avg("hit").alias("micro_f1"), F.count("*").alias("r"), F.sum("cells").alias("cells"), F.count_if(F.col("own") == 0).alias("bare"))
+    facts = facts.join(F.broadcast(classes.agg(F.count("*").alias("c"))), F.lit(True))  # one row each
+    cells = shares.select("p", (F.col("v") == F.col("true")).alias("is_true")).groupBy("p").agg(F.count_if("is_true").alias("pos"), F.count_if(~F.col("is_true")).alias("neg"))
+    unnamed = facts.select(F.lit(0.0).alias("p"), F.col("bare").alias("pos"), (F.col("r") * F.col("c") - F.col("cells") - F.col("bare")).alias("neg"))
+    counts = cells.union(unnamed).groupBy("p").agg(F.sum("pos").cast("long").alias("pos"), F.sum("neg").cast("long").alias("neg"))
+    ranked = running_sums(counts, "p", ["pos", "neg"])
+    wins = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
+    area = ranked.agg(F.try_divide(wins, F.first("total_pos") * F.first("total_neg")).alias("micro_auc"))
+    return facts.select("micro_f1").join(F.broadcast(area), F.lit(True))  # one row each

@@ -156,3 +156,39 @@ def column_info(df: DataFrame) -> DataFrame:
     }
     kinds = F.when(F.col("column").isin(sorted(numbers)), "numeric").otherwise("categorical")
     return column_facts(df, facts, None, {"n_categories": "long"}).withColumn("kind", kinds)
+
+
+def table_totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, n_rows, n_columns, n_numeric, n_categorical, n_missing of each table, and their sums as the table 'ALL'."""
+    parts = []
+    for name, df in tables.items():
+        missing = sum((F.count_if(_q(c).isNull()) for c in df.columns), F.lit(0))
+        facts = (len(df.columns), len(numeric_columns(df)), len(string_columns(df)))
+        parts.append(df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n_rows"), *[F.lit(v).cast("long").alias(k) for k, v in zip(("n_columns", "n_numeric", "n_categorical"), facts)], missing.cast("long").alias("n_missing")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.union(p)
+    sums = ("n_rows", "n_columns", "n_numeric", "n_categorical", "n_missing")
+    return rows.rollup("table").agg(*[F.sum(c).alias(c) for c in sums]).fillna({"table": "ALL"})
+
+
+def type_rollup(tables: dict[str, DataFrame], categories: dict[str, str] | None = None) -> DataFrame:
+    """kind (dtype or category), name, n_columns over all tables, from their schemas alone. A column's category is that of
+    the first prefix in categories that its name starts with, else 'other'."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [("dtype", t) for df in tables.values() for _, t in df.dtypes]
+    rows += [("category", next((v for k, v in (categories or {}).items() if c.startswith(k)), "other")) for df in tables.values() for c in df.columns]
+    return spark.createDataFrame(rows, "kind string, name string").groupBy("kind", "name").agg(F.count("*").alias("n_columns"))
+
+
+def segment_report(df: DataFrame) -> DataFrame:
+    """feature, mean, max, total, nonzero_pct of the columns that segment_features makes: activation rates of seg_<id>,
+    loads of seg_hash_<k>, segments a row. One aggregate; a table without rows gives NULLs."""
+    names = [c for c in df.columns if c == "num_segments" or c.startswith("seg_")]
+    facts = {
+        "mean": lambda c: F.avg(_q(c)),
+        "max": lambda c: F.max(_q(c)),
+        "total": lambda c: F.sum(_q(c)),
+        "nonzero_pct": lambda c: F.avg((_q(c) > 0).cast("double")) * 100,
+    }
+    return column_facts(df, facts, names, {"max": "long", "total": "long"}).withColumnRenamed("column", "feature")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, evaluating, modelling, profiling, streams
+from . import encoding, evaluating, modelling, profiling, rules, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "encoding", "evaluating", "modelling", "profiling", "streams"]
+__all__ = ["ORACLES", "QUERIES", "encoding", "evaluating", "modelling", "profiling", "rules", "streams"]
