@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import normal_quantile
 from ..functions.ordered import with_row_number
+from ..session import cut, discard
 from .infer import roles_by_type
 from .profile import value_counts
 
-#: Levels up to which a column's dictionary is literals in the plan; beyond that it is a join.
+#: Levels up to which a column gets a block of 0/1 columns; beyond that its levels are a table and it gets a code by a join.
 LITERAL_LEVELS = 500
 
 
@@ -32,6 +33,7 @@ class ColumnPlan:
     high: float | None = None
     levels: list[str] = field(default_factory=list)
     shares: list[float] = field(default_factory=list)
+    table: str | None = None  # where the value, code rows of a coded column lie
 
 
 @dataclass
@@ -49,23 +51,36 @@ class TablePlan:
 
     @property
     def encoded_names(self) -> list[str]:
-        return [n for c in self.columns for n in ([f"{c.name}_scaled"] if c.role == "numeric" else [f"{c.name}_{v}" for v in c.levels])]
+        single = {"numeric": "scaled", "coded": "code"}
+        return [n for c in self.columns for n in ([f"{c.name}_{single[c.role]}"] if c.role in single else [f"{c.name}_{v}" for v in c.levels])]
 
 
-def fit_plan(df: DataFrame, boolean_is_numeric: bool = False) -> TablePlan:
-    """Min and max of numeric columns, sorted levels and their shares of the others: two aggregates over the table."""
+def fit_plan(df: DataFrame, boolean_is_numeric: bool = False, wide: int = LITERAL_LEVELS) -> TablePlan:
+    """Min and max of numeric columns, sorted levels and their shares of the others: two aggregates over the table.
+
+    Columns of more than `wide` levels are coded: their levels stay a table in the shared folder, so the plan and what
+    reaches the driver are bounded by columns times `wide`."""
     roles, types = roles_by_type(df, boolean_is_numeric), dict(df.dtypes)
     numbers = [c for c in df.columns if roles[c] == "numeric"]
     others = [c for c in df.columns if roles[c] != "numeric"]
     row = df.agg(*[F.struct(F.min(_q(c)).cast("double"), F.max(_q(c)).cast("double")).alias(c) for c in numbers]).first() if numbers else {}
     levels: dict[str, list] = {c: [] for c in others}
+    coded: dict[str, ColumnPlan] = {}
     if others:
-        for r in value_counts(df, others).collect():
+        counts = cut(value_counts(df, others), "levels")
+        many = {r["column"]: r["count"] for r in counts.groupBy("column").count().where(F.col("count") > wide).collect()}
+        for r in counts.where(~F.col("column").isin(*many or [""])).collect():
             levels[r["column"]].append((r["value"], r["share"]))
+        for c, n in many.items():
+            known = cut(with_row_number(counts.where(F.col("column") == c).select("value"), ["value"], "code"), "codes")
+            coded[c] = ColumnPlan(c, types[c], "coded", 0.0, float(n - 1), table=known._cut_path)
+        discard(counts)
     plans = []
     for c in df.columns:
         if roles[c] == "numeric":
             plans.append(ColumnPlan(c, types[c], "numeric", row[c][0], row[c][1]))
+        elif c in coded:
+            plans.append(coded[c])
         else:
             known = sorted(levels[c])
             plans.append(ColumnPlan(c, types[c], "categorical", levels=[v for v, _ in known], shares=[s for _, s in known]))
@@ -79,11 +94,16 @@ def scale_minmax(c: str, low: float | None, high: float | None) -> Column:
 
 
 def encode(df: DataFrame, plan: TablePlan) -> DataFrame:
-    """<column>_scaled for numbers, <column>_<level> for each sorted level of the others (an unknown level is all zero)."""
+    """<column>_scaled for numbers, <column>_<level> for each sorted level of the others (an unknown level is all zero),
+    <column>_code for those of many levels (an unknown one is -1)."""
     out = []
-    for p in plan.columns:
+    for k, p in enumerate(plan.columns):
         if p.role == "numeric":
             out.append(scale_minmax(p.name, p.low, p.high).alias(f"{p.name}_scaled"))
+        elif p.role == "coded":
+            known = df.sparkSession.read.parquet(p.table).select(F.col("value").alias(f"_value{k}"), F.col("code").alias(f"_code{k}"))
+            df = df.join(known, _q(p.name).cast("string") == F.col(f"_value{k}"), "left")
+            out.append(F.coalesce(F.col(f"_code{k}").cast("double"), F.lit(-1.0)).alias(f"{p.name}_code"))
         else:
             out += [F.coalesce((_q(p.name).cast("string") == v).cast("double"), F.lit(0.0)).alias(f"{p.name}_{v}") for v in p.levels]
     return df.select(*out)
@@ -91,13 +111,19 @@ def encode(df: DataFrame, plan: TablePlan) -> DataFrame:
 
 def decode(df: DataFrame, plan: TablePlan, nulls: bool = True) -> DataFrame:
     """The inverse of encode, in the source's order and types: numbers unscaled (whole types rounded half to even), the
-    first maximum of a block its level; a block of zeros is NULL."""
+    first maximum of a block its level; a block of zeros is NULL. Codes are rounded and clipped to the known ones; a
+    negative one is NULL (with nulls=False the first level)."""
     out = []
-    for p in plan.columns:
+    for k, p in enumerate(plan.columns):
         if p.role == "numeric":
             span = p.high - p.low if p.low is not None and p.high != p.low else 1.0
             x = _q(f"{p.name}_scaled") * F.lit(float(span)) + F.lit(p.low if p.low is not None else 0.0)
             out.append(restore_type(x, p.dtype).alias(p.name))
+        elif p.role == "coded":
+            known = df.sparkSession.read.parquet(p.table).select(F.col("value").alias(f"_value{k}"), F.col("code").alias(f"_code{k}"))
+            code = F.least(F.lit(p.high), F.rint(_q(f"{p.name}_code")))
+            df = df.join(known, (code if nulls else F.greatest(F.lit(0.0), code)).cast("long") == F.col(f"_code{k}"), "left")
+            out.append(F.col(f"_value{k}").cast(p.dtype).alias(p.name))
         elif not p.levels:
             out.append(F.lit(None).cast(p.dtype).alias(p.name))
         else:
@@ -255,8 +281,6 @@ def snap_to_observed(df: DataFrame, column: str, observed: DataFrame) -> DataFra
     """Each value becomes the nearest observed one, the smaller on a tie.
 
     Both sides are sorted together by range, and each range looks to its last observed value below and first above."""
-    from ..session import cut
-
     obs = observed.select(_q(column).cast("double").alias("x")).where("x is not null").distinct().select("x", F.lit(1).alias("seen"), F.lit(None).cast("string").alias("row"))
     ids = cut(df.withColumn("_row", F.expr("uuid()")), "snap")
     asked = ids.select(_q(column).cast("double").alias("x"), F.lit(0).alias("seen"), F.col("_row").alias("row")).where("x is not null")

@@ -26,6 +26,24 @@ def default_decode_roundtrip(spark, sf_dir):
     return rounded(encode.decode(encode.encode(df, plan), plan))
 
 
+@query(f"""select {_minmax('c_custkey')} as c_custkey_scaled, case when c_custkey % 9 = 0 then -1.0 else cast(dense_rank() over (partition by c_custkey % 9 = 0 order by c_name) - 1 as double) end as c_name_code,
+{', '.join(f"cast(c_mktsegment = '{v}' as int)::double as c_mktsegment_{v}" for v in ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'))} from customer""")
+def many_levels_encode(spark, sf_dir):
+    df = _names(spark, sf_dir)
+    return rounded(encode.encode(df, encode.fit_plan(df, wide=100)))
+
+
+@query("select c_custkey, case when c_custkey % 9 <> 0 then c_name end as c_name, c_mktsegment from customer")
+def many_levels_decode(spark, sf_dir):
+    df = _names(spark, sf_dir)
+    plan = encode.fit_plan(df, wide=100)
+    return encode.decode(encode.encode(df, plan), plan)
+
+
+def _names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")).alias("c_name"), "c_mktsegment")
+
+
 @query("""with v as (select 'o_orderstatus' col, cast(o_orderstatus as varchar) as value from orders union all select 'o_orderpriority', o_orderpriority from orders),
 c as (select col, value, count(*) n from v group by all)
 select col as "column", value, n, round(n / sum(n) over (partition by col), 6) as share, cast(row_number() over (partition by col order by value) - 1 as int) level_index,

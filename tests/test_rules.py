@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from synthframe.operators import clean, infer, metrics, profile, sample, transform
+from synthframe.operators import clean, encode, infer, metrics, profile, sample, transform
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +82,15 @@ def test_imputation_scores_by_hand(spark):
     row = metrics.imputation_scores(truth, trials, "k", "v").first()
     # cells: (1,a) .5 true, (1,b) .5, (2,b) 1 true, (2,a) 0: pairs won 3.5 of 4; the tie of row 1 goes to a
     assert row["micro_f1"] == 1.0 and row["micro_auc"] == pytest.approx(3.5 / 4)
+
+
+def test_ten_thousand_levels_stay_a_table(spark):
+    df = spark.range(10000).select(F.when(F.col("id") > 0, F.concat(F.lit("v"), "id")).alias("c"), F.col("id").alias("_code0"))
+    plan = encode.TablePlan.from_json(encode.fit_plan(df).to_json())
+    assert plan.columns[0].role == "coded" and plan.columns[0].high == 9998.0 and not plan.columns[0].levels
+    coded = encode.encode(df.select("c"), encode.TablePlan(plan.columns[:1]))
+    assert coded.columns == plan.encoded_names[:1] and coded.where("c_code = -1").count() == 1
+    back = encode.decode(coded, encode.TablePlan(plan.columns[:1]))
+    assert back.exceptAll(df.select("c")).count() == 0 and back.count() == 10000
+    other = encode.encode(spark.createDataFrame([("new",)], "c string"), encode.TablePlan(plan.columns[:1]))
+    assert other.first()["c_code"] == -1.0
