@@ -1,4 +1,5 @@
-"""Marginals, alone or joined by a Gaussian copula. Drawing is a projection over range(n): no shuffle, no Python."""
+"""Marginals, alone or joined by a Gaussian copula. Drawing is a projection over range(n), and a join for each text column of
+very many values: no Python."""
 
 from __future__ import annotations
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import normal_quantile
 from ..operators.encode import inverse_quantile, quantile_knots, restore_type, uniform_from_knots
-from ..operators.profile import numeric_columns, top_values
-from ..operators.sample import draw_category, standard_normal, uniform
+from ..operators.profile import numeric_columns, value_counts
+from ..operators.sample import draw_category, standard_normal, uniform, weighted_slots
+from ..session import cut, discard
 from .base import Synthesizer, register
 
 
@@ -26,7 +28,8 @@ def normal_cdf(z: Column) -> Column:
 class IndependentMarginals(Synthesizer):
     """Each column for itself: numbers by interpolated quantiles, others by their levels' shares; NULLs by theirs.
 
-    Of a text column the `levels` most frequent values are kept, and the others' share falls to them in proportion."""
+    A text column of up to `levels` values is literals in the plan; one of more keeps them all as a table that draws are
+    joined with."""
 
     def __init__(self, seed: int = 0, knots: int = 101, levels: int = 500):
         super().__init__(seed)
@@ -40,9 +43,19 @@ class IndependentMarginals(Synthesizer):
         self.state["nulls"] = {c: (nulls[c] or 0) / n for c in df.columns}
         self.state["quantiles"] = {c: quantile_knots(df, c, self.knots) for c in numbers}
         shares: dict[str, list] = {c: [] for c in others}
+        self.state["wide"] = {}
         if others:
-            for r in top_values(df, others, self.levels).collect():
+            counts = cut(value_counts(df, others), "levels")
+            many = [r["column"] for r in counts.groupBy("column").count().where(F.col("count") > self.levels).collect()]
+            for r in counts.where(~F.col("column").isin(*many or [""])).collect():
                 shares[r["column"]].append([r["value"], r["share"]])
+            for c in many:
+                k = df.columns.index(c)
+                sizes, slots = weighted_slots(counts.where(F.col("column") == c).drop("share"), ["column"])
+                facts = sizes.first()
+                self.state["wide"][c] = [k, facts["_total"], facts["_width"]]
+                self.tables[f"wide{k}"] = cut(slots.drop("column"), "slots")
+            discard(counts)
         self.state["shares"] = {c: sorted(v) for c, v in shares.items()}
 
     def _draw(self, c: str, u: Column, seed: int) -> Column:
@@ -50,14 +63,24 @@ class IndependentMarginals(Synthesizer):
         if c in self.state["quantiles"]:
             q = self.state["quantiles"][c]
             value = restore_type(inverse_quantile(u, q), kind) if q else F.lit(None).cast(kind)
+        elif c in self.state["wide"]:
+            value = F.col(f"_value{self.state['wide'][c][0]}").cast(kind)
         else:
             shares = self.state["shares"][c]
             value = draw_category([tuple(s) for s in shares], u).cast(kind) if shares else F.lit(None).cast(kind)
         gone = self.state["nulls"][c]
         return F.when(uniform(seed + 17, F.col("id"), F.lit(c)) >= gone, value) if gone else value
 
+    def _drawn(self, rows: DataFrame, u: dict[str, Column], seed: int) -> DataFrame:
+        """rows (with id) as the table's columns, each drawn at its u; a value of a wide column is found by its slot."""
+        for c, (k, total, width) in self.state["wide"].items():
+            slots = self.tables[f"wide{k}"].select(F.col("_slot").alias(f"_slot{k}"), F.col("_lo").alias(f"_lo{k}"), F.col("_hi").alias(f"_hi{k}"), F.col("value").alias(f"_value{k}"))
+            at = F.least(F.floor(u[c] * F.lit(total)), F.lit(total - 1)).cast("long")
+            rows = rows.withColumn(f"_at{k}", at).withColumn(f"_slot{k}", F.expr(f"_at{k} div {width}")).join(slots, f"_slot{k}").where(f"_at{k} >= _lo{k} and _at{k} < _hi{k}")
+        return rows.select(*[self._draw(c, u[c], seed).alias(c) for c in self.state["columns"]])
+
     def _sample(self, n: int, seed: int) -> DataFrame:
-        return self.spark.range(n).select(*[self._draw(c, uniform(seed, F.col("id"), F.lit(c)), seed).alias(c) for c in self.state["columns"]])
+        return self._drawn(self.spark.range(n), {c: uniform(seed, F.col("id"), F.lit(c)) for c in self.state["columns"]}, seed)
 
 
 class GaussianCopula(IndependentMarginals):
@@ -68,6 +91,8 @@ class GaussianCopula(IndependentMarginals):
         if c in self.state["quantiles"]:
             q = self.state["quantiles"][c]
             u = uniform_from_knots(x.cast("double"), q) if q else F.lit(0.5)
+        elif c in self.state["wide"]:
+            u = F.col(f"_mid{self.state['wide'][c][0]}")
         else:
             u, acc = F.lit(None).cast("double"), 0.0
             total = sum(s for _, s in self.state["shares"][c]) or 1.0
@@ -80,6 +105,10 @@ class GaussianCopula(IndependentMarginals):
     def _fit(self, df: DataFrame) -> None:
         super()._fit(df)
         names = self.state["columns"]
+        for c, (k, total, width) in self.state["wide"].items():
+            once = self.tables[f"wide{k}"].where(F.expr(f"_slot = _lo div {width}"))  # a row a value
+            mids = once.select(F.col("value").alias(f"_value{k}"), ((F.col("_lo") + F.col("_hi")) / (2.0 * total)).alias(f"_mid{k}"))
+            df = df.join(mids, F.col(f"`{c}`").cast("string") == F.col(f"_value{k}"), "left")
         scored = df.select(*[self._score(c).alias(f"p{k}") for k, c in enumerate(names)])
         scored = scored.select(*[normal_quantile(f"p{k}").alias(f"z{k}") for k in range(len(names))])
         vectors = VectorAssembler(inputCols=scored.columns, outputCol="v").transform(scored).select("v")
@@ -94,7 +123,7 @@ class GaussianCopula(IndependentMarginals):
         names, low = self.state["columns"], self.state["cholesky"]
         rows = self.spark.range(n).select("id", *[standard_normal(seed + 101 * k, F.col("id"), F.lit(k)).alias(f"e{k}") for k in range(len(names))])
         mixed = rows.select("id", *[sum((F.col(f"e{j}") * float(low[k][j]) for j in range(k + 1)), F.lit(0.0)).alias(f"z{k}") for k in range(len(names))])
-        return mixed.select(*[self._draw(c, normal_cdf(F.col(f"z{k}")), seed).alias(c) for k, c in enumerate(names)])
+        return self._drawn(mixed, {c: normal_cdf(F.col(f"z{k}")) for k, c in enumerate(names)}, seed)
 
 
 register("marginals", IndependentMarginals)

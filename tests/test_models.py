@@ -101,3 +101,18 @@ def test_loaded_trees_draw_what_the_fitted_ones_do(spark, tmp_path, name):
     model.save(str(tmp_path / name))
     loaded = load_model(spark, str(tmp_path / name))
     assert sorted(map(tuple, loaded.sample(60).collect())) == sorted(map(tuple, model.sample(60).collect()))
+
+
+@pytest.mark.parametrize("name", ["marginals", "gaussian_copula"])
+def test_all_of_many_levels_can_be_drawn(spark, name, tmp_path):
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then 'hot' else lpad(cast(id as string), 5, '0') end as t", "cast(id as double) as x")
+    model = models.create(name, seed=4).fit(df)
+    drawn = model.sample(2000)
+    values = drawn.select("t").distinct().count()
+    assert drawn.count() == 2000 and values > 700 and drawn.join(df, "t", "left_anti").count() == 0
+    assert 550 < drawn.where("t = 'hot'").count() < 800
+    if name == "gaussian_copula":
+        rank = drawn.where("t <> 'hot'").selectExpr("corr(cast(t as double), x) as r").first()["r"]
+        assert rank > 0.3  # a third of the rows, the hot ones, have any x
+    model.save(f"file://{tmp_path}/m")
+    assert load_model(spark, f"file://{tmp_path}/m").sample(2000).exceptAll(drawn).count() == 0
