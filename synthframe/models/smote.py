@@ -16,7 +16,9 @@ class Smote(Synthesizer):
     """Rows between a row and one of its k nearest neighbours of the same class (numbers standardised): numbers are
     interpolated, other columns take the value of one of the two. Classes keep their shares; without numbers, or for a
     class of one row, rows are drawn as they are. For a regression the classes are the target's values up to and above its
-    median, and the target is interpolated like the other numbers."""
+    median, and the target is interpolated like the other numbers.
+
+    Neighbours among all rows are looked for when rows are drawn, for the rows that are drawn."""
 
     def __init__(self, seed: int = 0, target: str | None = None, k: int = 5, edge: float = 0.0, regression: bool = False):
         super().__init__(seed)
@@ -37,16 +39,18 @@ class Smote(Synthesizer):
         own = F.col(f"`{target}`")
         if self.regression:
             own = own > F.lit(rows.agg(F.percentile(own.cast("double"), F.lit(0.5))).first()[0])
-        points = rows.select("_row", z.alias("z"), F.coalesce(own.cast("string"), F.lit("")).alias("c"))
-        self.tables["near"] = cut(nearest(points, points, self.k, id_column="_row", vector="z", label="c", exclude_self=True).select("id", "near_id", "rank"), "near")
+        self.tables["points"] = rows.select("_row", z.alias("z"), F.coalesce(own.cast("string"), F.lit("")).alias("c"))
 
     def _sample(self, n: int, seed: int) -> DataFrame:
         rows = self.tables["rows"]
         draws = self.spark.range(n).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(self.state["n"], 1))).alias("_row"))
         own = draws.join(rows, "_row")
-        if "near" not in self.tables:
+        if "points" not in self.tables:
             return own
-        many = self.tables["near"].withColumn("of", F.max("rank").over(Window.partitionBy("id"))).withColumnsRenamed({"id": "_row"})
+        points = self.tables["points"]
+        drawn = points.join(draws.select("_row").distinct(), "_row", "left_semi")
+        near = cut(nearest(drawn, points, self.k, id_column="_row", vector="z", label="c", exclude_self=True).select("id", "near_id", "rank"), "near")
+        many = near.withColumn("of", F.max("rank").over(Window.partitionBy("id"))).withColumnsRenamed({"id": "_row"})
         turn = draws.join(many, "_row").where(F.col("rank") == F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("of")) + 1).select("id", "near_id")
         other = rows.select(F.col("_row").alias("near_id"), *[F.col(f"`{c}`").alias(f"_b_{c}") for c in self.state["columns"]])
         both = own.join(turn, "id", "left").join(other, "near_id", "left")

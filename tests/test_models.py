@@ -116,3 +116,29 @@ def test_all_of_many_levels_can_be_drawn(spark, name, tmp_path):
         assert rank > 0.3  # a third of the rows, the hot ones, have any x
     model.save(f"file://{tmp_path}/m")
     assert load_model(spark, f"file://{tmp_path}/m").sample(2000).exceptAll(drawn).count() == 0
+
+
+def test_smote_looks_for_neighbours_of_drawn_rows_only(spark):
+    # one search over all pairs of 150,000 rows would take minutes
+    rows = spark.range(150_000).selectExpr("cast(pmod(xxhash64(id), 30000) as double) as x", "cast(pmod(xxhash64(id, 1), 10) as double) as y", "concat('c', id % 3) as c")
+    model = models.create("smote", seed=1).fit(rows)
+    assert "near" not in model.tables and model.tables["points"].count() == 150_000
+    drawn = model.sample(200)
+    assert drawn.count() == 200 and drawn.where("x between 0 and 30000 and y between 0 and 9 and c in ('c0', 'c1', 'c2')").count() == 200
+
+
+@pytest.mark.parametrize("copies", [1, 9])
+def test_few_queries_find_the_nearest_of_many_rows(spark, copies):
+    rng = np.random.default_rng(copies)
+    x = np.tile(rng.normal(size=(2700 // copies, 3)).round(2), (copies, 1)) + 50
+    c = np.array([["a", "b", None][i % 3] for i in range(len(x))], object)
+    base = spark.createDataFrame([(i, x[i].tolist(), c[i]) for i in range(len(x))], "id long, v array<double>, c string").repartition(5)
+    asked = range(0, len(x), 11)
+    for label in ("c", None):
+        got = neighbors.nearest(base.where("id % 11 = 0"), base, 4, id_column="id", vector="v", label=label, exclude_self=True).orderBy("id", "rank").collect()
+        want = []
+        for i in asked:
+            others = [j for j in range(len(x)) if j != i and (label is None or c[i] == c[j])]
+            d = ((x[others] - x[i]) ** 2).sum(1)
+            want += [(i, others[j], rank + 1) for rank, j in enumerate(np.lexsort((others, d))[:4])]
+        assert [(r["id"], r["near_id"], r["rank"]) for r in got] == want
