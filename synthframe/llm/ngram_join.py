@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, discard
-from .common import connected_components, map_columns, read, small_slices, sorted_runs, spanning_roots, spread_join, texts_of
+from .common import connected_components, map_columns, read, serve, small_batches, small_slices, sorted_runs, spanning_roots, spread_join, texts_of, worker_cache
 
 #: Words whose hashes a worker keeps.
 WORDS = 150_000
@@ -55,7 +55,7 @@ class _WordHash(dict):
         return h
 
 
-_words = _WordHash()
+_words = worker_cache("ngram_join", _WordHash())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -152,6 +152,8 @@ def _signed(n: int, percent: int):
     """For map_columns: n-gram count, class key and segment signatures of each document."""
 
     def make():
+        serve("ngram_join")
+
         def fn(cols: dict) -> dict:
             sets = [gram_set(t, n) for t in cols["text"]]
             found = [signatures(s, percent) for s in sets]
@@ -186,6 +188,7 @@ def _shared_segments(words):
     """For mapInArrow: (d, level, spared, segment) of the segments that pass the filter; level tells a set's two apart."""
 
     def run(batches):
+        serve("ngram_join")
         for batch in batches:
             lists = batch.column(1)
             segments, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
@@ -204,6 +207,7 @@ def _gram_sets(n: int, words):
     edges = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
 
     def run(batches):
+        serve("ngram_join")
         bits = words.value
         for batch in batches:
             for rows in small_slices(batch.filter(pa.array(_passes(bits, batch.column(2).to_numpy())))):
@@ -230,6 +234,7 @@ def with_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int) -> D
 
 def _partial_overlaps(batches):
     """For mapInArrow over rows by (p, f, chunk), the pivot first: what each member has of the pivot's fragment."""
+    serve("ngram_join")
     at, mine, size = None, None, 0
     for batch in batches:
         if not batch.num_rows:
@@ -303,6 +308,7 @@ def _block_links(percent: int):
     """For mapInArrow over rows by block: members not yet placed against members -> a spanning forest of their links."""
 
     def run(batches):
+        serve("ngram_join")
         for rows in sorted_runs(batches, 5):
             member, d, n, parts = (rows.column(k) for k in ("member", "d", "n", "parts"))
             member, d, n = member.to_numpy(), d.to_numpy(), n.to_numpy()
@@ -365,7 +371,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     split at ASCII white space). Null or wordless texts have no n-grams and link with nothing. Rows with the same doc_id
     are one node, whatever their texts: each text links for it. A null doc_id stays a row of its own: its component is
     that of its copies with an id, or null. Other columns of docs are not read; an empty table gives an empty result."""
-    docs = texts_of(docs)
+    with small_batches(docs.sparkSession):
+        return _joined(texts_of(docs), n, percent)
+
+
+def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """All steps in Python run in here; what is returned reads tables only."""
     wide = cut(map_columns(docs, _signed(n, percent), "doc_id long, n_shingles long, key binary, segments array<long>, spared array<long>"), "wide")
     signed = cut(wide.drop("segments", "spared"), "signed")
     code = F.xxhash64("key")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import byte_slices, read, texts_of
+from .common import byte_slices, read, serve, texts_of
 from .word_tokens import GROUP, ids_bytes, piece_tables, vocabulary
 
 
@@ -159,6 +159,7 @@ def _cut_pieces(table, capacity: int, end_id: int):
     end = ids_bytes([end_id])
 
     def run(batches):
+        serve("word_tokens")
         own, seen = table(), Counter()
         task = np.random.SeedSequence().entropy % (1 << 62)  # names this run of the task; only one run's rows are kept
         for whole in batches:

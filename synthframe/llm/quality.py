@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import SLICE_ROWS, map_columns, read, texts_of
+from .common import SLICE_ROWS, map_columns, read, serve, texts_of
 
 #: Labelled rows that the model is fitted on, about, at most (16 bytes each when broadcast), and partitions of their sums.
 LABEL_ROWS, FIT_PARTITIONS = 50_000, 16
@@ -166,6 +166,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
 
     def make():
+        serve("quality")
         own = model.value
 
         def fn(cols: dict) -> dict:
@@ -188,6 +189,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     at = docs.columns.index("text")
 
     def run(batches):
+        serve("quality")
         own = model.value
         for whole in batches:
             for first in range(0, whole.num_rows, SLICE_ROWS):

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, read, texts_of
+from .common import byte_slices, read, serve, texts_of, worker_cache
 
 #: Entries of tier one (1 MB when broadcast), and longest pre-token kept in either tier. They change only speed.
 TIER_ONE, LONGEST = 1 << 15, 64
@@ -42,7 +42,7 @@ _LETTER, _NUMBER, _BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85
 PRE_TOKEN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+|\n")
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-_loaded: dict[str, object] = {}
+_loaded: dict[str, object] = worker_cache("word_tokens", {})
 
 
 def tokenizer(path: str):
@@ -210,6 +210,7 @@ _EMPTY = pa.table({"words": pa.array([], pa.string()), "counts": pa.array([], pa
 def _count_pieces(batches):
     """For mapInArrow: the frequent pre-tokens of a task's texts, as one record. Pieces between white space are counted
     and taken apart at the end."""
+    serve("word_tokens")
     total = _EMPTY
     for batch in batches:
         for part in byte_slices(batch, 0, GROUP):
@@ -268,6 +269,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     table = piece_tables(docs, path)
 
     def run(batches):
+        serve("word_tokens")
         own = table()
         for whole in batches:
             for batch in byte_slices(whole, 1, GROUP):

@@ -15,6 +15,8 @@ pytest.importorskip("synthframe.llm")
 
 from synthframe.llm import automaton, byte_bpe, catalog, licenses, ngram_join, packing, pii, quality, secrets, topk, vector_dedup, word_tokens  # noqa: E402
 
+from synthframe.session import ship  # noqa: E402
+
 from ..oracle import assert_same, connect  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -696,3 +698,51 @@ def test_pipeline_stages(spark, odd):
     pieces = corpus_pipeline.run(spark, SF).toPandas()
     assert set(pieces["doc_id"]) == {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert pieces.groupby("sequence_id")["length"].sum().max() <= 4096
+
+
+# what workers hold
+
+
+def test_a_worker_lets_go_of_other_operators_caches(spark):
+    def run(batches):
+        from synthframe.llm import common, ngram_join, word_tokens
+
+        for batch in batches:
+            common.serve("ngram_join")
+            ngram_join.gram_set("a b c d", 3)
+            word_tokens.tokenizer(WORDS)
+            kept = len(ngram_join._words), len(word_tokens._loaded)
+            common.serve("ngram_join")
+            same = len(ngram_join._words), len(word_tokens._loaded)
+            common.serve("word_tokens")
+            word_tokens.tokenizer(WORDS)
+            common.serve("word_tokens")
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*kept, *same, len(ngram_join._words), len(word_tokens._loaded))], names=list("abcdef"))
+
+    ship(spark)
+    got = spark.range(1, numPartitions=1).mapInArrow(run, "a long, b long, c long, d long, e long, f long").first()
+    assert got["a"] >= 4 and got["b"] == 1 and (got["c"], got["d"]) == (got["a"], 1) and (got["e"], got["f"]) == (0, 1)
+
+
+def test_the_join_hands_workers_small_batches(spark, monkeypatch):
+    batches = spark.sparkContext.accumulator(0)
+    most = spark.sparkContext.accumulator(0)
+    make = ngram_join.map_columns
+
+    def counted(df, *more):
+        def run(found):
+            for b in found:
+                batches.add(1)
+                most.add(int(b.num_rows > 1024 or b.nbytes > 6_000_000))
+                yield b
+
+        df.mapInArrow(run, df.schema).count()
+        return make(df, *more)
+
+    monkeypatch.setattr(ngram_join, "map_columns", counted)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
+    docs = spark.range(6000, numPartitions=1).selectExpr("id as doc_id", "repeat(concat('w', id % 7, ' '), 600) as text")
+    got = ngram_join.ngram_jaccard_join(docs, 3, 90)
+    assert got.count() == 6000 and got.select("component_id").distinct().count() == 7
+    assert batches.value >= 6 and most.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == before
