@@ -6,14 +6,18 @@ trie of tokens for the one under way. `Transducer` determinises it on demand: a
 step gives the next state and the one token that ends at this byte if the text does. What was read is decided as soon
 as one hypothesis is left, so output follows after a lookahead that the vocabulary bounds, by walking back over the
 tokens that ended where the next ones begin. States and steps are remembered: known ground costs one lookup a byte.
+
+Ids travel packed, as 32-bit integers in bytes; their decimals and the bytes they stand for are gathered from tables.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -22,9 +26,14 @@ from .word_tokens import vocabulary
 
 #: States of the determinised transducer before it starts afresh, pre-tokens that a worker keeps, the longest kept, and
 #: bytes held back at most until the next decided place. Pairs of tokens, and moves of the decoder, that are remembered.
+#: Ids that are spelled out at a time.
 STATES, CACHE, LONGEST, FLUSH = 200_000, 500_000, 64, 256
 PAIRS, MOVES = 1_000_000, 500_000
+SPELLED = 1 << 16
 _NEVER = 1 << 60
+#: A hypothesis is one number: its last whole token (-1: none), then the place in the trie in so many bits.
+_PLACE = 32
+_PLACES = (1 << _PLACE) - 1
 
 
 class Transducer:
@@ -34,28 +43,29 @@ class Transducer:
         self.ranks, self.tokens = ranks, {r: b for b, r in ranks.items()}
         self.halves = {r: self._halve(b) for b, r in ranks.items()}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.fit: dict[tuple[int, int], bool] = {}
+        self.fit: dict[int, bool] = {}
         self.child: dict[int, int] = {}
-        self.whole: dict[int, int] = {}
-        self.inner: set[int] = set()
-        nodes = 0
+        self.whole: list[int] = [-1]  # by place: the token that ends there
+        self.inner: list[bool] = [False]
         for token, rank in ranks.items():
             if len(token) > 1 and self.halves[rank] is None:
                 continue  # merges never make it
             at = 0
             for b in token:
                 key = at << 8 | b
-                self.inner.add(at)
+                self.inner[at] = True
                 if key not in self.child:
-                    nodes += 1
-                    self.child[key] = nodes
+                    self.child[key] = len(self.inner)
+                    self.whole.append(-1)
+                    self.inner.append(False)
                 at = self.child[key]
             self.whole[at] = rank
         self._forget()
 
     def _forget(self) -> None:
-        start = ((-1, 0),)
+        start = (-1 << _PLACE,)
         self.states, self.ids, self.step = [start], {start: 0}, {}
+        self.ends = [-1]  # by state: the token that ends there, the last one of its hypothesis without a token under way
 
     def _halve(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge gives this one; None for a byte and for what merges never give."""
@@ -77,7 +87,7 @@ class Transducer:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens apart: no merge over their border comes before those that use its sides up."""
-        key = (left, right)
+        key = left << _PLACE | right
         if key not in self.fit:
             if len(self.fit) >= PAIRS:
                 self.fit.clear()
@@ -98,31 +108,41 @@ class Transducer:
             self.fit[key] = apart
         return self.fit[key]
 
-    def _make_step(self, state: int, byte: int) -> tuple[int, int]:
-        live, ending = [], None
-        for last, node in self.states[state]:
-            node = self.child.get(node << 8 | byte)
+    def _make_step(self, state: int, byte: int) -> int:
+        """States are numbered in steps of 256, so that a state and a byte add up to a key."""
+        live, ending = [], -1
+        child, whole, inner, fit = self.child.get, self.whole, self.inner, self.fit.get
+        for hypothesis in self.states[state >> 8]:
+            node = child((hypothesis & _PLACES) << 8 | byte)
             if node is None:
                 continue
-            if node in self.inner:
-                live.append((last, node))
-            token = self.whole.get(node)
-            if token is not None and (last < 0 or self.fits(last, token)):
-                if ending is not None:
-                    raise AssertionError("two tokenizations of one prefix")
-                ending = token
-        live.append((ending, 0))
-        key = tuple(sorted(live))
-        if key not in self.ids:
-            self.ids[key] = len(self.states)
+            last = hypothesis >> _PLACE
+            if inner[node]:
+                live.append(last << _PLACE | node)
+            if ending < 0 and whole[node] >= 0:  # a prefix has one tokenization, so the first token that fits is the one
+                token = whole[node]
+                if last < 0:
+                    ending = token
+                else:
+                    apart = fit(last << _PLACE | token)
+                    if self.fits(last, token) if apart is None else apart:
+                        ending = token
+        if ending < 0:
+            raise ValueError(f"byte {byte} is no token of the vocabulary")
+        live.append(ending << _PLACE)
+        key = tuple(live)
+        to = self.ids.get(key)
+        if to is None:
+            to = self.ids[key] = len(self.states) << 8
             self.states.append(key)
-        found = self.step[state << 8 | byte] = (self.ids[key], ending)
-        return found
+            self.ends.append(ending)
+        self.step[state | byte] = to
+        return to
 
-    def _walk_back(self, ending: list[int]) -> list[int]:
-        out, at, tokens = [], len(ending), self.tokens
+    def _walk_back(self, path: list[int]) -> list[int]:
+        out, at, ends, tokens = [], len(path), self.ends, self.tokens
         while at:
-            token = ending[at - 1]
+            token = ends[path[at - 1] >> 8]
             out.append(token)
             at -= len(tokens[token])
         out.reverse()
@@ -132,15 +152,34 @@ class Transducer:
         if len(self.states) > STATES:
             self._forget()
         out: list[int] = []
-        ending: list[int] = []
-        state, get = 0, self.step.get
-        for byte in data:
-            state, token = get(state << 8 | byte) or self._make_step(state, byte)
-            ending.append(token)
-            if len(ending) >= FLUSH and len(self.states[state]) == 1:  # one hypothesis is left: all before is decided
-                out += self._walk_back(ending)
-                ending.clear()
-        return out + self._walk_back(ending)
+        path: list[int] = []
+        state, get, go = 0, self.step.get, path.append
+        for byte in data[:FLUSH]:
+            state = get(state | byte) or self._make_step(state, byte)  # no step leads to the start, state 0
+            go(state)
+        for byte in data[FLUSH:]:
+            if len(path) >= FLUSH and len(self.states[state >> 8]) == 1:  # one hypothesis is left: all before is decided
+                out += self._walk_back(path)
+                path.clear()
+            state = get(state | byte) or self._make_step(state, byte)
+            go(state)
+        return out + self._walk_back(path)
+
+
+class Strings:
+    """Byte strings by number, to be laid end to end."""
+
+    def __init__(self, strings: dict[int, bytes]):
+        self.sizes = np.zeros(max(strings, default=-1) + 1, np.int64)
+        self.sizes[list(strings)] = [len(b) for b in strings.values()]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join([strings[i] for i in sorted(strings)]), np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        at = np.repeat(self.starts[ids] - np.cumsum(sizes) + sizes, sizes)
+        at += np.arange(len(at))
+        return self.bytes[at].tobytes()
 
 
 #: UTF-8 by lead byte: (first, last lead byte) -> state; by state: (first, last next byte) -> state. State 0 is between characters.
@@ -163,8 +202,10 @@ class Decoder:
         self.tokens = tokens
         self.table = [[utf8_step(s, b) for b in range(256)] for s in range(8)]
         self.moves: dict[tuple[int, int], tuple[int, int]] = {}
-        #: Tokens that lead from between characters to between characters.
-        self.closed = {i: b for i, b in tokens.items() if self._move(0, i) == (0, len(b))}
+        self.strings = Strings(tokens)
+        #: Whether a token leads from between characters to between characters.
+        self.closed = np.zeros(len(self.strings.sizes), bool)
+        self.closed[[i for i, b in tokens.items() if self._move(0, i) == (0, len(b))]] = True
 
     def _move(self, state: int, token: int) -> tuple[int, int]:
         """The state after the token, and how many of its bytes complete characters."""
@@ -197,11 +238,37 @@ class Decoder:
         if held:
             yield held
 
+    def pieces(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The bytes of SPELLED ids at a time, each piece ending between characters; the last one holds what stayed incomplete.
+
+        The machine stays between characters over tokens that are closed, so it runs only from the others on until it is back."""
+        state, begun, held = 0, 0, b""  # the machine's state and how many bytes it has read of a character
+        for start in range(0, len(ids), SPELLED):
+            part = ids[start : start + SPELLED]
+            opening, at, n = np.flatnonzero(~self.closed[part]).tolist(), 0, len(part)
+            for k in [0, *opening] if state else opening:
+                if k < at:
+                    continue
+                at = k
+                while at < n:
+                    token = int(part[at])
+                    state, done = self._move(state, token)
+                    begun = len(self.tokens[token]) - done if done else begun + len(self.tokens[token])
+                    at += 1
+                    if not state:
+                        break
+            held += self.strings.join(part)
+            cut = len(held) - (begun if state else 0)
+            if cut:
+                yield held[:cut]
+                held = held[cut:]
+        if held:
+            yield held
+
     def decode(self, ids: list[int]) -> bytes:
-        try:
-            return b"".join(map(self.closed.__getitem__, ids))  # the machine stays in state 0 throughout
-        except KeyError:
-            return b"".join(self.stream(ids))
+        if min(ids, default=0) < 0:
+            raise KeyError(min(ids))
+        return b"".join(self.pieces(np.asarray(ids, np.int64)))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -210,17 +277,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class PreTokens(dict):
-    """A worker's cache: pre-token -> (ids, their decimals each after a space)."""
+    """A worker's cache: pre-token -> packed ids. When half of CACHE is full, it becomes the older half, from which what is
+    still in use comes back, and the older half before it goes."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
-    def __missing__(self, text: str) -> tuple:
-        ids = tuple(self.transducer.encode(text.encode()))
-        found = (ids, "".join([f" {i}" for i in ids]))
+    def __missing__(self, text: str) -> bytes:
+        found = self.older.get(text)
+        if found is None:
+            found = array("i", self.transducer.encode(text.encode())).tobytes()
         if len(text) <= LONGEST:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
                 self.clear()
             self[text] = found
         return found
@@ -234,12 +304,24 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.transducer, self.decoder = Transducer(ranks), Decoder({r: b for b, r in ranks.items()})
         self.known = PreTokens(self.transducer)
+        self.decimals = Strings({r: b" %d" % r for r in ranks.values()})
 
-    def parts(self, text: str) -> list[tuple]:
-        return list(map(self.known.__getitem__, self.split(text)))
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split(text))), np.int32)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([p[0] for p in self.parts(text)]))
+        return self.ids(text).tolist()
+
+    def written(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The ids in decimals joined by a space, SPELLED of them at a time."""
+        return (self.decimals.join(ids[k : k + SPELLED])[not k :] for k in range(0, len(ids), SPELLED))
+
+
+def sha256(pieces: Iterator[bytes]) -> str:
+    digest = hashlib.sha256()
+    for piece in pieces:
+        digest.update(piece)
+    return digest.hexdigest()
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -283,11 +365,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         def fn(cols: dict) -> dict:
             out: dict = {"doc_id": cols["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for text in cols["text"]:
-                parts = own.parts(text or "")
-                ids = list(chain.from_iterable([p[0] for p in parts]))
+                ids = own.ids(text or "")
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256("".join([p[1] for p in parts])[1:].encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(own.decoder.decode(ids)).hexdigest())
+                out["ids_sha256"].append(sha256(own.written(ids)))
+                out["decoded_sha256"].append(sha256(own.decoder.pieces(ids)))
             return out
 
         return fn

@@ -682,6 +682,48 @@ def test_remembered_pairs_and_moves_are_bounded(monkeypatch):
     assert len(transducer.fit) <= 50 and len(decoder.moves) <= 50
 
 
+def test_common_pre_tokens_stay_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE", 40)
+    own = byte_bpe.Codec(BYTES, P.PATTERN)
+    read = Counter()
+    encode = own.transducer.encode
+    own.transducer.encode = lambda data: read.update([data]) or encode(data)
+    for k in range(500):
+        assert own.decoder.decode(own.encode(f"word{k}")) == f"word{k}".encode()
+        assert len(own.known) + len(own.known.older) <= 40
+    assert read[b"word"] == 1 and read[b"499"] == 1
+    own.encode("0 1 2")
+    assert read[b"0"] == 2  # what isn't in use goes
+
+
+def test_decoder_steps_over_open_tokens_only(monkeypatch):
+    own = byte_bpe.codec(BYTES, P.PATTERN)
+    text = "plain words " * 500 + "日本語 👩‍👩‍👧 é " + "plain words " * 500
+    ids, steps = own.encode(text), []
+    move = own.decoder._move
+    monkeypatch.setattr(own.decoder, "_move", lambda *a: steps.append(a) or move(*a))
+    assert own.decoder.decode(ids) == text.encode() and 0 < len(steps) < 60
+
+
+def test_pieces_of_any_size_are_whole(monkeypatch):
+    own = byte_bpe.codec(BYTES, P.PATTERN)
+    rng = random.Random(3)
+    bad = byte_bpe.Decoder({k: bytes([k]) for k in range(256)})
+    for size in (1, 2, 3, 1 << 16):
+        monkeypatch.setattr(byte_bpe, "SPELLED", size)
+        for text in [t or "" for t in ODD_TEXTS]:
+            ids = own.ids(text)
+            pieces = list(own.decoder.pieces(ids))
+            assert "".join(p.decode() for p in pieces) == text
+            assert b"".join(own.written(ids)) == " ".join(map(str, ids.tolist())).encode()
+        for _ in range(100):
+            data = bytes(rng.choice(b"a\x80\xc3\xa9\xe6\x97\xa5\xf0\x9f\xff") for _ in range(rng.randint(0, 30)))
+            assert bad.decode(list(data)) == data == b"".join(bad.stream(list(data)))
+    for ids in ([-1], [256]):
+        with pytest.raises(LookupError):
+            bad.decode(ids)
+
+
 # pipeline
 
 
